@@ -3,21 +3,22 @@
 On unit vectors a cosine of at least t is a distance of at most sqrt(2 - 2 t). Each of ``TABLES`` tables hashes a vector by
 ``PROJECTIONS`` normal projections, shifted and cut into steps of ``STEP``; vectors that share a bucket in any table are
 compared by exact cosine in double precision. For pairs just at cosine 0.95 a projection agrees with probability 0.87, a
-bucket with 0.33 and one of 24 tables with over 0.9999.
+bucket with 0.19 and one of 40 tables with over 0.999; unrelated vectors share a bucket with probability 0.0002.
 
 Equal vectors are collapsed first. Buckets with one vector drop out before vectors are moved. A bucket of more than
-``BLOCK`` vectors is compared block against block, so none is capped and none meets in one task; a block pair returns the
-number of links of each vector and a spanning forest of its links, not the pairs. A pair counts in the first table in
-which it shares a bucket.
+``BLOCK`` vectors is compared block against block, so none is capped and none meets in one task; a block returns the number
+of links of each vector and one connecting pair for each vector of a component, not the links. A pair counts in the first
+table in which it shares a bucket.
 
-Defined cases: vectors that are null, empty, of another length than most would allow, zero, or hold null or non-finite
-components link with nothing; rows that repeat an id are vectors of their own with the same id; null ids get kept false; an
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
+different lengths never link; rows that repeat an id are vectors of their own with the same id; null ids get kept false; an
 empty table gives an empty table; input columns other than id and embedding are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,80 +26,95 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.llm.components import components
+from rallyframe.llm.runs import runs
 from rallyframe.plans.scratch import stash
 
-TABLES, PROJECTIONS, STEP, BLOCK, SEED = 24, 8, 2.0, 1024, 3
+TABLES, PROJECTIONS, STEP, BLOCK, SEED = 40, 12, 2.0, 1024, 3
 
 
+@lru_cache(maxsize=8)
 def _parts(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    return rng.standard_normal((width, TABLES * PROJECTIONS)), rng.uniform(0, STEP, TABLES * PROJECTIONS), rng.integers(1, 2**63, PROJECTIONS, dtype=np.uint64)
+    return rng.standard_normal((width, TABLES * PROJECTIONS)), rng.uniform(0, STEP, TABLES * PROJECTIONS), rng.integers(1, 2**63, PROJECTIONS, dtype=np.uint64) | np.uint64(1)
+
+
+def _unit(vectors: list) -> np.ndarray:
+    v = np.array(vectors, float)
+    v /= np.abs(v).max(axis=1, keepdims=True)  # squares of very large or small components stay finite
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _keys(v: np.ndarray) -> np.ndarray:
+    """The TABLES bucket keys of unit vectors."""
+    project, shift, odd = _parts(v.shape[1])
+    cells = np.floor((v @ project + shift) / STEP).astype(np.int64).astype(np.uint64).reshape(len(v), TABLES, PROJECTIONS)
+    keys = np.full((len(v), TABLES), v.shape[1], np.uint64)
+    for p in range(PROJECTIONS):
+        keys = (keys ^ (cells[:, :, p] + np.uint64(0x9E37))) * odd[p]
+        keys ^= keys >> np.uint64(29)
+    return keys.astype(np.int64)
 
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The TABLES bucket keys of each vector, as bytes of 64-bit integers."""
     for batch in batches:
-        widths = batch["embedding"].map(len)
-        for width, rows in batch.groupby(widths, sort=False):
-            v = np.array(rows["embedding"].tolist(), float)
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
-            project, shift, odd = _parts(int(width))
-            cells = np.floor((v @ project + shift) / STEP).astype(np.int64).astype(np.uint64).reshape(len(v), TABLES, PROJECTIONS)
-            keys = np.zeros((len(v), TABLES), np.uint64)
-            for p in range(PROJECTIONS):
-                keys = (keys ^ (cells[:, :, p] + np.uint64(0x9E37))) * (odd[p] | np.uint64(1))
-                keys ^= keys >> np.uint64(29)
-            keys = keys * np.uint64(2 * width + 1) + np.arange(TABLES, dtype=np.uint64)
-            yield pd.DataFrame({"id": rows["id"].to_numpy(), "keys": list(keys.astype(np.int64))})
-
-
-def _block(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links among the rows of one block, or between side 0 and side 1: (a, b, weight of b) sums as counts, and a forest."""
+        for _, rows in batch.groupby(batch["embedding"].map(len), sort=False):
+            yield pd.DataFrame({"id": rows["id"].to_numpy(), "keys": list(_keys(_unit(rows["embedding"].tolist())))})
+
+
+def _rooted(linked: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The least place that each place reaches. linked: a symmetric matrix."""
+    while True:
+        least = np.minimum(root, np.where(linked, root[None, :], len(root)).min(axis=1, initial=len(root)))
+        least = least[least]
+        if (least == root).all():
+            return root
+        root = least
+
+
+def _block(rows: pd.DataFrame, least: float) -> pd.DataFrame | None:
+    """Links among the rows of one block (side 2) or between side 0 and side 1: counts (a, null, n) and connecting pairs (a, b, 0)."""
+    v = _unit(rows["embedding"].tolist())
     ids, copies, sides, table = rows["id"].to_numpy(), rows["copies"].to_numpy(), rows["side"].to_numpy(), int(rows["table"].iloc[0])
-    v = np.array(rows["embedding"].tolist(), float)
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    keys = np.array(rows["keys"].tolist(), np.int64)
-    left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
-    count = np.zeros(len(rows), np.int64)
-    parent = np.arange(len(rows))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    forest = []
-    for at in range(0, len(left), 256):
-        own = left[at : at + 256]
-        i, j = np.nonzero(v[own] @ v[right].T >= least - 1e-9)
-        i, j = own[i], right[j]
-        use = (i < j) if (sides == 2).any() else np.ones(len(i), bool)
-        i, j = i[use], j[use]
-        exact = np.einsum("ij,ij->i", v[i], v[j]) >= least
-        i, j = i[exact], j[exact]
-        # one whole count per pair: tables before this one in which the pair shares a bucket have counted it
-        first = np.ones(len(i), bool)
-        for t in range(table):
-            first &= keys[i, t] != keys[j, t]
-        np.add.at(count, i[first], copies[j[first]])
-        np.add.at(count, j[first], copies[i[first]])
-        for x, y in zip(i.tolist(), j.tolist(), strict=True):
-            p, q = root(x), root(y)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                forest.append((ids[x], ids[y], 0))
+    near = v @ v.T >= least - 1e-9
+    near &= (sides[:, None] != sides[None, :]) | (sides[:, None] == 2)
+    i, j = np.nonzero(np.triu(near, 1))
+    exact = np.concatenate([np.einsum("ij,ij->i", v[i[at : at + 65536]], v[j[at : at + 65536]]) >= least for at in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+    i, j = i[exact], j[exact]
+    if not len(i):
+        return None
+    linked = np.zeros(near.shape, bool)
+    linked[i, j] = linked[j, i] = True
+    own = np.unique(np.concatenate((i, j)))
+    keys = np.zeros((len(rows), TABLES), np.int64)
+    keys[own] = _keys(v[own])
+    first = np.ones(len(i), bool)
+    for t in range(table):  # a pair that shares an earlier table's bucket is counted there
+        first &= keys[i, t] != keys[j, t]
+    i, j = i[first], j[first]
+    count = np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))
     some = np.flatnonzero(count)
-    out = pd.DataFrame({"a": ids[some], "b": pd.array([None] * len(some), "Int64"), "n": count[some]})
-    links = pd.DataFrame(forest, columns=["a", "b", "n"]).astype({"a": "int64", "b": "Int64", "n": "int64"})
-    return pd.concat([out, links], ignore_index=True)
+    root = _rooted(linked, np.arange(len(rows)))
+    moved = np.flatnonzero(root != np.arange(len(rows)))
+    return pd.DataFrame({
+        "a": np.concatenate((ids[some], ids[moved])),
+        "b": pd.array([None] * len(some) + ids[root[moved]].tolist(), "Int64"),
+        "n": np.concatenate((count[some], np.zeros(len(moved)))).astype(np.int64),
+    })
+
+
+def _compared(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    for rows in runs(batches, "node"):
+        if (found := _block(rows, least)) is not None:
+            yield found
 
 
 def near_duplicates(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: the id, n_links (other vectors linked directly), component_id and kept (id = component_id)."""
-    source = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    fine = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    source = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("embedding"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    fine = F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     valid = source.where(fine)
+    # a third of the vectors may be equal: the aggregate combines them before its shuffle
     classes = stash(valid.groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("copies")).where("id is not null"), "vectors")
     hashed = stash(classes.select("id", "embedding").mapInPandas(_hashed, "id long, keys array<long>"), "hashed")
     spread = hashed.select("id", F.posexplode("keys").alias("table", "key"))
@@ -107,15 +123,14 @@ def near_duplicates(rows: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     met = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    met = met.select("id", "table", "key", low.alias("low"), high.alias("high"), side.alias("side"))
-    full = met.join(classes.join(hashed, "id"), "id")
-    pairs = full.groupBy("table", "key", "low", "high").applyInPandas(lambda x: _block(x, least), "a long, b long, n long")
-    pairs = stash(pairs, "linked")
+    met = met.select("id", "table", F.xxhash64("table", "key", low, high).alias("node"), side.alias("side"))
+    full = met.join(classes, "id").repartition("node").sortWithinPartitions("node", "table", "id")
+    pairs = stash(full.mapInPandas(lambda it: _compared(it, least), "a long, b long, n long"), "linked")
     label = components(pairs.where("b is not null").select("a", "b"))
     counts = pairs.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     known = classes.join(counts, "id", "left").join(label, "id", "left").select(
         "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")
     )
-    linked = valid.join(known, "embedding").select("id", "n_links", "component")
+    linked = valid.join(known, "embedding", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component"))
     alone = source.where(~fine).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return linked.union(alone).select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(False)).alias("kept"))

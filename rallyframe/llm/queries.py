@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyframe.llm import minhash, mixing, packing, quality_rules
+from rallyframe.llm import embeddings, licenses, minhash, mixing, packing, quality_classifier, quality_rules, secrets, url_filters, warc
 from rallyframe.llm.text import count_words
-from rallyframe.plans.scratch import stash
+from rallyframe.plans.scratch import scratch_path, sized_join, stash
 from rallyframe.plans.tables import table
 
 
@@ -17,6 +17,10 @@ def op1_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packed.drop("ids")
 
 
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"), least=0.95)
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     ratios = quality_rules.ratio_table(docs, table(spark, folder, "labels").where("quality = 1"))
@@ -33,6 +37,41 @@ def op5_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, folder, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"), secrets.train(secrets.labelled_findings(spark)))
+
+
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    fifth = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+    labels = table(spark, folder, "labels").where(fifth != 0).select("doc_id", F.col("quality").alias("label"))
+    model = quality_classifier.train(sized_join(docs.select("doc_id", "text"), labels, ["doc_id"], "inner", labels.count()))
+    return quality_classifier.classify(docs, model).select("doc_id", (fifth == 0).alias("held_out"), "score", "predicted")
+
+
+URL_RULES = [
+    url_filters.Rule("allow", "com", "/"),
+    url_filters.Rule("block", "example.com", "/en/"),
+    url_filters.Rule("allow", "www.example.com", "/en/"),
+    url_filters.Rule("block", "net", "/es/"),
+    url_filters.Rule("block", "net", "/fr/"),
+]
+
+
+def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filters.judge(table(spark, folder, "pages"), URL_RULES)
+
+
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 _OP4_SQL = rf"""
@@ -61,5 +100,51 @@ n AS (SELECT *, row_number() OVER (PARTITION BY nul, src ORDER BY doc_id % {mixi
 x AS (SELECT doc_id, size, source_size, target, u, i, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM n JOIN t USING (nul, src))
 SELECT doc_id, size, source_size, target, (size * (floor(rate * i + u) - floor(rate * (i - 1) + u)))::BIGINT AS taken FROM x"""
 
-QUERIES = {"op1_pack": op1_pack, "op3_quality_rules": op3_quality_rules, "op4_minhash": op4_minhash, "op5_mix": op5_mix}
-ORACLES = {"op4_minhash": _OP4_SQL, "op5_mix": _OP5_SQL}
+
+_OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, vec_id = c.component_id AS kept
+FROM embeddings JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+
+def _op6_sql() -> str:
+    rows = [(name, licenses.template_words(text)) for name, text in sorted(licenses.TEMPLATES.items())]
+    values = ", ".join(f"('{name}', {licenses.class_of(len(own))}, {own})" for name, own in rows)
+    grams = lambda ws: f"list_transform(range(1, len({ws}) - 1), lambda i: {ws}[i:i+2])"
+    return f"""
+WITH t AS (SELECT license, class, list_distinct({grams("words")}) AS own FROM (VALUES {values}) x(license, class, words)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}'), '[a-z0-9]+') AS ws FROM documents),
+s AS (SELECT doc_id, {grams("ws")} AS sh FROM d WHERE len(ws) >= 3),
+h AS (SELECT * FROM s WHERE list_has_any(sh, (SELECT flatten(list(own)) FROM t))),
+w AS (SELECT doc_id, class, k * class AS start, list_distinct(sh[k * class + 1 : k * class + 2 * class - 2]) AS found
+  FROM (SELECT doc_id, sh, class, unnest(range(0, len(sh) // class + 1)) AS k FROM h, (SELECT DISTINCT class FROM t)))
+SELECT doc_id, license, min(start)::BIGINT AS start, max(len(list_intersect(own, found))::DOUBLE / len(own)) AS containment
+FROM w JOIN t USING (class) WHERE len(list_intersect(own, found))::DOUBLE / len(own) >= {licenses.CONTAINMENT}
+GROUP BY 1, 2"""
+
+
+_OP7_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= {warc.LEAST} GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to, true AS intact
+FROM p LEFT JOIN f USING (payload_digest)"""
+
+QUERIES = {
+    "op1_pack": op1_pack,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_minhash": op4_minhash,
+    "op5_mix": op5_mix,
+    "op6_licenses": op6_licenses,
+    "op7_warc": op7_warc,
+    "op8_secrets": op8_secrets,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_url_filter": op10_url_filter,
+}
+ORACLES = {"op2_embedding_dedup": _OP2_SQL, "op4_minhash": _OP4_SQL, "op5_mix": _OP5_SQL, "op6_licenses": _op6_sql(), "op7_warc": _OP7_SQL}

@@ -1,13 +1,14 @@
 """Secret scans: candidate strings, then a random forest that removes false positives.
 
-Candidates are runs of key characters of at least ``LEAST`` characters, with the words beside them. Features: length,
-character transitions (changes of class between neighbours), dictionary coverage (the share of characters in known
-words), the path the text came from, and the neighbouring words. A forest is trained on labelled findings (by default
-``labelled_findings``) and compiled into one column expression, so the scan is a single pass of DataFrame functions.
+Candidates are runs of 16 or more key characters, with the text before them. Features: length, character transitions
+(changes of class between neighbours), dictionary coverage (the share of characters in known words), the path the text
+came from, and the neighbouring words. A forest is trained on labelled findings (by default ``labelled_findings``) and
+compiled into one column expression, so scanning and redacting are each one pass of DataFrame functions without a shuffle.
 
 Defined cases: null and empty texts hold no candidates; texts are scanned whole; a candidate that occurs several times in
-a text is one finding with its count; rows that repeat an id give each their findings; a null path is an unknown path; an
-empty table gives an empty table; input columns named like a result column are replaced.
+a text is one finding at its first place; rows that repeat an id give each their findings; a null path is an unknown path;
+an empty table gives an empty table; input columns other than id, text and path are not read by ``scan`` and kept as they
+are by ``redact``.
 """
 
 from __future__ import annotations
@@ -17,12 +18,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAST = 16
-#: A candidate with up to two words before it: key characters, not part of a longer run; e-mail hosts and URLs break runs.
-CANDIDATE = r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){0,2}?[^\x20\x09-\x0DA-Za-z0-9+/_-]*"
-RUN = r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}(?![A-Za-z0-9+/_\-])"
-#: Up to 48 characters before a run on its line, and the run.
-CONTEXT = r"(?:^|(?<=[\s\S]))[^\n]{0,48}?" + RUN
+#: A candidate: a whole run of key characters (possessive, so a run is tried once).
+RUN = r"[A-Za-z0-9+/_\-]{16,}+"
+#: Characters in front of a candidate that count as its neighbourhood.
+BEFORE = 48
 #: Words that name secrets.
 SECRET_WORDS = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "credential", "auth", "bearer"]
 #: Words that name harmless identifiers.
@@ -42,28 +41,29 @@ def _any(words: list[str]) -> str:
     return "(?i)(" + "|".join(words) + ")"
 
 
-def featured(rows: DataFrame) -> DataFrame:
-    """Adds ``FEATURES`` to rows with candidate, before (the text in front of it) and path."""
-    c, before = F.col("candidate"), F.coalesce(F.col("before"), F.lit(""))
+def features(c: Column, before: Column, path: Column) -> list[Column]:
+    """``FEATURES`` of a candidate, the text in front of it and the path."""
     n = F.length(c)
     share = lambda pattern: F.size(F.regexp_extract_all(c, F.lit(pattern), F.lit(0))) / n
     yes = lambda column, pattern: F.rlike(column, F.lit(pattern)).cast("double")
-    return (
-        rows.withColumn("f_length", n.cast("double"))
-        .withColumn("f_letter_digit", share(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"))
-        .withColumn("f_case", share(r"[a-z](?=[A-Z])|[A-Z](?=[a-z])"))
-        .withColumn("f_digits", share("[0-9]"))
-        .withColumn("f_upper", share("[A-Z]"))
-        .withColumn("f_hex", yes(c, "^[0-9a-f]+$"))
-        .withColumn("f_vowel_pairs", share(r"(?i)[bcdfghjklmnpqrstvwxz](?=[aeiouy])"))
-        .withColumn("f_longest_letters", F.coalesce(F.array_max(F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0)), F.length)), F.lit(0)).cast("double"))
-        .withColumn("f_dictionary", 1 - F.length(F.regexp_replace(c, _any(DICTIONARY), "")) / n)
-        .withColumn("f_example_path", yes(F.coalesce(F.col("path"), F.lit("")), _any(EXAMPLE_PATHS)))
-        .withColumn("f_secret_word", yes(F.right(before, F.lit(24)), _any(SECRET_WORDS)))
-        .withColumn("f_harmless_word", yes(F.right(before, F.lit(24)), _any(HARMLESS_WORDS)))
-        .withColumn("f_assigned", yes(before, r"[=:]\s*[\"']?$"))
-        .withColumn("f_known_prefix", yes(c, "^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[bap]-|^sk_live_|^AIza"))
-    )
+    near = F.right(before, F.lit(24))
+    made = {
+        "f_length": n.cast("double"),
+        "f_letter_digit": share(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"),
+        "f_case": share(r"[a-z](?=[A-Z])|[A-Z](?=[a-z])"),
+        "f_digits": share("[0-9]"),
+        "f_upper": share("[A-Z]"),
+        "f_hex": yes(c, "^[0-9a-f]+$"),
+        "f_vowel_pairs": share(r"(?i)[bcdfghjklmnpqrstvwxz](?=[aeiouy])"),
+        "f_longest_letters": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0)), F.length)), F.lit(0)).cast("double"),
+        "f_dictionary": 1 - F.length(F.regexp_replace(c, _any(DICTIONARY), "")) / n,
+        "f_example_path": yes(F.coalesce(path, F.lit("")), _any(EXAMPLE_PATHS)),
+        "f_secret_word": yes(near, _any(SECRET_WORDS)),
+        "f_harmless_word": yes(near, _any(HARMLESS_WORDS)),
+        "f_assigned": yes(before, r"[=:]\s*[\"']?$"),
+        "f_known_prefix": yes(c, "^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[bap]-|^sk_live_|^AIza"),
+    }
+    return [made[name].alias(name) for name in FEATURES]
 
 
 def labelled_findings(spark: SparkSession, each: int = 250) -> DataFrame:
@@ -102,48 +102,50 @@ def labelled_findings(spark: SparkSession, each: int = 250) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> RandomForestClassificationModel:
-    """A forest on at most ``MOST_LABELLED`` labelled findings (candidate, before, path, label 0 or 1)."""
-    rows = featured(labelled.where("candidate is not null and label is not null").limit(MOST_LABELLED)).select(*FEATURES, F.col("label").cast("double").alias("label")).na.fill(0.0)
+    """A forest on at most ``MOST_LABELLED`` labelled findings (candidate, before, path, label 0 or 1); incomplete rows are left out."""
+    rows = labelled.where("candidate is not null and label is not null").limit(MOST_LABELLED)
+    rows = rows.select(*features(F.col("candidate"), F.coalesce("before", F.lit("")), F.col("path")), F.col("label").cast("double").alias("label"))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="5", labelCol="label", featuresCol="features")
     return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.coalesce(1)))
 
 
-def _tree(node) -> Column:
+def _tree(node, row: Column) -> Column:
     if node.subtreeDepth() == 0:
         stats = list(node.impurityStats().stats())
         return F.lit(float(stats[1] / max(sum(stats), 1e-12)))
     split = node.split()
-    return F.when(F.col(FEATURES[split.featureIndex()]) <= float(split.threshold()), _tree(node.leftChild())).otherwise(_tree(node.rightChild()))
+    return F.when(row[FEATURES[split.featureIndex()]] <= float(split.threshold()), _tree(node.leftChild(), row)).otherwise(_tree(node.rightChild(), row))
 
 
-def score(model: RandomForestClassificationModel) -> Column:
-    """The forest as one expression over ``FEATURES``: the mean over its trees of the share of secrets in the leaf."""
-    trees = [_tree(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode")) for t in model.trees]
-    total = trees[0]
-    for t in trees[1:]:
-        total = total + t
-    return total / len(trees)
+def score(model: RandomForestClassificationModel, row: Column) -> Column:
+    """The forest as one expression over a struct of ``FEATURES``: the mean over its trees of the share of secrets in the leaf."""
+    total = F.lit(0.0)
+    for tree in model.trees:
+        total = total + _tree(tree._java_obj.rootNode(), row)
+    return total / len(model.trees)
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """(id, path, candidate, before, occurrences): every candidate of every text with the text in front of its first occurrence."""
-    found = F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(RUN), F.lit(0)))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
-    rows = rows.where(F.rlike("text", F.lit(RUN))).withColumn("candidate", F.explode(found))
-    at = F.instr("text", F.col("candidate"))
-    return rows.select("id", "path", "candidate", F.substring(F.col("text"), F.greatest(at - 48, F.lit(1)), F.least(at - 1, F.lit(48))).alias("before"), (at - 1).cast("long").alias("start"))
+def findings(model: RandomForestClassificationModel, text: Column, path: Column) -> Column:
+    """Every candidate of a text: an array of (start, candidate, score), in order of first occurrence."""
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)))
+    # each step binds what the next one uses, so nothing is evaluated twice
+    placed = F.transform(runs, lambda c: F.struct(c.alias("c"), F.instr(text, c).alias("at")))
+    seen = F.transform(placed, lambda p: F.struct(p["c"].alias("c"), p["at"].alias("at"), F.substring(text, F.greatest(p["at"] - BEFORE, F.lit(1)), F.least(p["at"] - 1, F.lit(BEFORE))).alias("b")))
+    made = F.transform(seen, lambda p: F.struct(p["c"].alias("c"), p["at"].alias("at"), F.struct(*features(p["c"], p["b"], path)).alias("f")))
+    return F.transform(made, lambda p: F.struct((p["at"] - 1).cast("long").alias("start"), p["c"].alias("candidate"), score(model, p["f"]).alias("score")))
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", least_score: float = LEAST_SCORE) -> DataFrame:
     """One row per candidate: the id, start (of its first occurrence), candidate, score and is_secret."""
-    rows = featured(candidates(docs, id_col, text_col, path_col)).withColumn("score", score(model))
-    return rows.select(F.col("id").alias(id_col), "start", "candidate", "score", (F.col("score") >= least_score).alias("is_secret"))
+    rows = docs.where(F.rlike(F.col(text_col), F.lit(RUN)))
+    found = rows.select(F.col(id_col).alias("__id"), F.explode(findings(model, F.col(text_col), F.col(path_col).cast("string"))).alias("__f"))
+    return found.select(F.col("__id").alias(id_col), "__f.start", "__f.candidate", "__f.score", (F.col("__f.score") >= least_score).alias("is_secret"))
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, mark: str = "[SECRET]", text_col: str = "text", path_col: str = "source", least_score: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` with every occurrence of every secret replaced by ``mark``, text by text, without moving rows."""
+    """``docs`` with every occurrence of every secret replaced by ``mark``, text by text, longer secrets first; no row moves."""
     text = F.col(text_col)
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)))
-    rows = docs.withColumn("__found", F.when(F.rlike(text, F.lit(RUN)), found).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("__id", F.monotonically_increasing_id())
-    return rows
+    found = F.filter(findings(model, text, F.col(path_col).cast("string")), lambda f: f["score"] >= least_score)
+    longest = F.sort_array(F.transform(found, lambda f: F.struct(F.length(f["candidate"]).alias("n"), f["candidate"].alias("c"))), False)
+    clean = F.aggregate(longest, text, lambda kept, f: F.replace(kept, f["c"], F.lit(mark)))
+    return docs.withColumn(text_col, F.when(F.rlike(text, F.lit(RUN)), clean).otherwise(text))

@@ -92,7 +92,8 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     per_host = rows.groupBy("host").agg(F.max(F.col("rule_verdict") == "allow").alias("good"), F.max(F.col("rule_verdict") == "block").alias("bad")).where("good or bad")
     seeds = stash(per_host.where("host <> ''"), "seeds")
     edges = stash(host_edges(named), "edges")
-    even = lambda which: seeds.where(which).select("host").crossJoin(F.broadcast(seeds.where(which).agg(F.count("*").alias("n")))).select("host", (1.0 / F.col("n")).alias("start"))  # noqa: E731  one row
+    total = lambda which: seeds.where(which).agg(F.count("*")).scalar()
+    even = lambda which: seeds.where(which).select("host", (1.0 / total(which)).alias("start"))
     start_good, start_bad = even("good"), even("bad")
     if edges.isEmpty():
         trust, distrust = start_good.withColumnRenamed("start", "rank"), start_bad.withColumnRenamed("start", "rank")
