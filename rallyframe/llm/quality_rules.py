@@ -12,17 +12,19 @@ like a result column are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.llm.text import SPACES, words
 from rallyframe.plans.scratch import sized_join
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 12
 #: Mean log ratio under which a document is rejected.
-THRESHOLD = -0.05
+THRESHOLD = -0.04
 #: Added to each bucket's count, in n-grams.
-SMOOTHING = 5.0
+SMOOTHING = 20.0
 #: Bits of a packed window that hold its place in the text.
 PLACE_BITS = 20
 SYMBOLS = "[#*$%&|<>]"
@@ -60,29 +62,38 @@ def _seen_twice(windows: Column) -> Column:
     return F.when(repeats, F.sort_array(F.array_distinct(F.flatten(F.when(n <= 1 << PLACE_BITS, twos).otherwise(slow)))))
 
 
-def featured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with __words, __hashes (one per word) and __pairs (one per pair of neighbours)."""
-    out = docs.withColumn("__words", words(F.col(text_col)))
-    out = out.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
-    return out.withColumn("__pairs", _pairs(F.col("__hashes")))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, also where the optimizer moves the expression into a filter."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _hashes(text: Column) -> Column:
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
 
+def counted(text: Column, score: Callable[[Column, Column], Column] | None = None) -> Column:
+    """The counted rules of a text as a struct of ``BASE``, and of llr, which ``score`` makes of word and pair hashes."""
 
-def base_rules(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """The counted rules on rows of ``featured``: adds the columns of ``BASE``."""
-    rows = rows.withColumn("__windows", _windows(F.col("__hashes"), F.col("__pairs"))).withColumn("__at", _seen_twice(F.col("__windows")))
-    gaps = F.zip_with(F.slice("__at", 1, F.size("__at") - 1), F.slice("__at", 2, F.size("__at") - 1), lambda a, b: F.least(b - a, F.lit(3)))
-    covered = F.when(F.col("__at").isNull(), F.lit(0)).otherwise(F.aggregate(gaps, F.lit(3), lambda x, y: x + y))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    return (
-        rows.withColumn("__lines", lines)
-        .withColumn("n_words", F.size("__words").cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("__words", "")).cast("long"))
-        .withColumn("n_symbols", F.when(F.rlike(text, F.lit(SYMBOLS)), F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).otherwise(F.lit(0)).cast("long"))
-        .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-        .withColumn("n_repeat_words", covered.cast("long"))
-        .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    )
+    def rules(ws: Column, hashes: Column, pairs: Column, at: Column, lines: Column) -> Column:
+        gaps = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.least(b - a, F.lit(3)))
+        covered = F.when(at.isNull(), F.lit(0)).otherwise(F.aggregate(gaps, F.lit(3), lambda x, y: x + y)).cast("long")
+        whole = F.coalesce(text, F.lit(""))
+        n = F.size(ws).cast("long")
+        return let(
+            covered,
+            lambda repeated: F.struct(
+                n.alias("n_words"),
+                F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
+                F.when(F.rlike(whole, F.lit(SYMBOLS)), F.length(whole) - F.length(F.regexp_replace(whole, SYMBOLS, ""))).otherwise(F.lit(0)).cast("long").alias("n_symbols"),
+                (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+                repeated.alias("n_repeat_words"),
+                ((n < 50) | (100 * repeated > 50 * n)).alias("base_failed"),
+                (F.lit(None).cast("double") if score is None else score(hashes, pairs)).alias("llr"),
+            ),
+        )
+
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    return let(words(text), lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: let(_pairs(hs), lambda ps: let(_windows(hs, ps), lambda win: let(_seen_twice(win), lambda at: let(lines, lambda ls: rules(ws, hs, ps, at, ls)))))))
 
 
 def ratio_table(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,7 +101,7 @@ def ratio_table(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     ids = trusted.select(id_col).distinct().withColumn("__of", F.lit(1))
     flagged = sized_join(docs.select(id_col, text_col), ids, [id_col], "left", ids.count())
-    grams = featured(flagged, text_col).select("__of", F.explode(F.concat("__hashes", "__pairs")).alias("__h"))
+    grams = flagged.select("__of", F.explode_outer(let(_hashes(F.col(text_col)), lambda hs: F.concat(hs, _pairs(hs)))).alias("__h")).where("__h is not null")
     both = grams.groupBy(F.col("__h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("__b")).agg(F.count("*").alias("raw"), F.count("__of").alias("target"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("__b"))
     both = every.join(both, "__b", "left").na.fill(0, ["raw", "target"])
@@ -107,9 +118,12 @@ def judge(docs: DataFrame, ratios: DataFrame, text_col: str = "text", threshold:
     """
     own = [*BASE, "llr", "kept"]
     left = [c for c in (docs.columns if more is None else more) if c not in own]
-    rows = base_rules(featured(docs.select(*{*left, text_col}).drop(*own), text_col), text_col)
-    table = ratios.scalar()
-    rows = rows.withColumn("__ratio", table)
-    total = F.aggregate(F.concat("__hashes", "__pairs"), F.lit(0.0), lambda a, h: a + F.get(F.col("__ratio"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")))
-    rows = rows.withColumn("llr", total / F.nullif(F.size("__hashes") + F.size("__pairs"), F.lit(0)))
-    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False))).select(*left, *own)
+    rows = docs.select(*{*left, text_col}).withColumn("__ratio", ratios.scalar())
+
+    def mean(hashes: Column, pairs: Column) -> Column:
+        total = F.aggregate(F.concat(hashes, pairs), F.lit(0.0), lambda a, h: a + F.get(F.col("__ratio"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")))
+        return total / F.nullif(F.size(hashes) + F.size(pairs), F.lit(0))
+
+    judged = rows.withColumn("__v", counted(F.col(text_col), mean))
+    kept = ~F.col("__v.base_failed") & F.coalesce(F.col("__v.llr") >= threshold, F.lit(False))
+    return judged.select(*left, *[F.col(f"__v.{c}").alias(c) for c in (*BASE, "llr")], kept.alias("kept"))
