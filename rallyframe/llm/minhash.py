@@ -20,6 +20,7 @@ columns other than id and text are not read, so their names cannot clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -128,19 +129,32 @@ def _nodes(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame
         yield from _cut(kept[0], np.zeros(0, int), least)
 
 
+def _agreeing(sigs: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the row pairs (a, b) those whose signatures agree in at least ``least`` places; most fail in the first half already."""
+    head = np.ascontiguousarray(sigs[:, : PLACES // 2])
+    some = np.count_nonzero(head[a] == head[b], axis=1) >= least - PLACES // 2
+    a, b = a[some], b[some]
+    some = np.count_nonzero(sigs[a] == sigs[b], axis=1) >= least
+    return a[some], b[some]
+
+
 def _cut(rows: pd.DataFrame, cut: np.ndarray, least: int) -> Iterator[pd.DataFrame]:
+    """Compare within the nodes that begin at 0 and ``cut``: small nodes together with those of their size, blocks one by one."""
     start, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(rows)]))
-    two = start[(end - start) == 2]
-    ids, labels = rows["id"].to_numpy(), rows["label"].to_numpy()
-    two = two[(labels[two] != labels[two + 1]) & (rows["side"].to_numpy()[two] == 2)] if len(two) else two
-    if len(two):
-        sigs = _signatures(rows["sig"])
-        two = two[(sigs[two] == sigs[two + 1]).sum(axis=1) >= least]
-        yield pd.DataFrame({"a": np.minimum(ids[two], ids[two + 1]), "b": np.maximum(ids[two], ids[two + 1])})
-    for s, e in zip(start, end, strict=True):
-        part = rows.iloc[s:e]
-        if e - s > 2 or (e - s == 2 and part["side"].iloc[0] != 2):
-            yield from _compared(part, least)
+    sigs, ids, labels = _signatures(rows["sig"]), rows["id"].to_numpy(), rows["label"].to_numpy()
+    small = (end - start <= SMALL) & (rows["side"].to_numpy()[start] == 2)
+    for size in np.unique((end - start)[small]):
+        i, j = np.triu_indices(size, 1)
+        own = start[small & (end - start == size)]
+        step = max(1, 65536 // max(1, len(i)))
+        for at in range(0, len(own), step):
+            a, b = (own[at : at + step, None] + i).ravel(), (own[at : at + step, None] + j).ravel()
+            apart = labels[a] != labels[b]
+            a, b = _agreeing(sigs, a[apart], b[apart], least)
+            if len(a):
+                yield pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
+    for s, e in zip(start[~small], end[~small], strict=True):
+        yield from _compared(rows.iloc[s:e], least)
 
 
 def _confirm(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
@@ -191,7 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
         labelled = nodes.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
         size = labelled.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node", "size")
         mixed_nodes = stash(labelled.join(size, "node").join(sig, "id"), "mixed")
-        levels.append(mixed_nodes.where(F.col("size") <= SMALL).withColumn("side", F.lit(2)).select("node", "id", "label", "sig", "side"))
+        levels.append(mixed_nodes.where(F.col("size") <= SMALL).select(F.xxhash64(F.lit(depth), "node").alias("node"), "id", "label", "sig", F.lit(2).alias("side")))
         large = mixed_nodes.where(F.col("size") > SMALL)
         if large.isEmpty():
             break
@@ -204,10 +218,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_
         low, high = F.least("block", "other"), F.greatest("block", "other")
         side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
         levels.append(met.select(F.xxhash64("node", low, high).alias("node"), "id", "label", "sig", side.alias("side")))
-    pairs = None
-    for level in levels:
-        found = level.repartition("node").sortWithinPartitions("node").mapInPandas(lambda it: _nodes(it, least), "a long, b long")
-        pairs = found if pairs is None else pairs.union(found)
+    # a given number of partitions, as Spark merges them by bytes otherwise, and blocks of few bytes take much time
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    compared = reduce(DataFrame.union, levels).repartition(spread, "node").sortWithinPartitions("node")
+    pairs = compared.mapInPandas(lambda it: _nodes(it, least), "a long, b long")
     more = confirmed(stash(pairs.distinct().join(star, ["a", "b"], "left_anti"), "pairs"))
     whole = components(links.union(more))
 
