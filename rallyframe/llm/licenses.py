@@ -15,6 +15,7 @@ empty table gives an empty table; input columns other than id and text are not r
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,14 +58,22 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _shingles(words: Column) -> Column:
     """A hash for each run of WIDTH words; shorter texts have none."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.size(words)
-    out = F.slice(hashes, 1, n - WIDTH + 1)
-    for k in range(1, WIDTH):
-        out = F.zip_with(out, F.slice(hashes, k + 1, n - WIDTH + 1), lambda a, b: F.xxhash64(a, b))
-    return F.when(n < WIDTH, F.array().cast("array<bigint>")).otherwise(out)
+
+    def joined(hashes: Column) -> Column:
+        n = F.size(hashes)
+        out = F.slice(hashes, 1, n - WIDTH + 1)
+        for k in range(1, WIDTH):
+            out = F.zip_with(out, F.slice(hashes, k + 1, n - WIDTH + 1), lambda a, b: F.xxhash64(a, b))
+        return F.when(n < WIDTH, F.array().cast("array<bigint>")).otherwise(out)
+
+    return _bound(F.transform(words, lambda w: F.xxhash64(w)), joined)
 
 
 def _signature(shingles: Column) -> Column:
@@ -86,21 +95,18 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     known_hashes = sorted(every.first()["a"])  # of the templates only
     classes = sorted({c for _, c, _ in named})
 
-    rows = docs.select(F.col(id_col).alias("id"), _words(F.col(text_col)).alias("words")).select("id", _shingles(F.col("words")).alias("shingles"))
-    hits = F.filter(F.transform("shingles", lambda h, i: F.when(h.isin(known_hashes), i)), F.isnotnull)
-    rows = rows.withColumn("hits", hits).where(F.size("hits") > 0)
-    windows = F.array_distinct(
-        F.flatten(
-            F.flatten(
-                F.transform(
-                    F.array(*[F.lit(c) for c in classes]),
-                    lambda c: F.transform("hits", lambda i: F.array(F.struct(c.alias("class"), (F.floor(i / c) * c).cast("int").alias("start")), F.struct(c.alias("class"), F.greatest(F.floor(i / c) * c - c, F.lit(0)).cast("int").alias("start")))),
-                )
-            )
-        )
-    )
-    cut = F.transform(windows, lambda w: F.struct(w["class"].alias("class"), w["start"].alias("start"), F.array_distinct(F.slice("shingles", w["start"] + 1, 2 * w["class"] - WIDTH + 1)).alias("found")))
-    windowed = rows.select("id", F.inline(cut))
+    def windows(shingles: Column) -> Column:
+        """(class, start, found) of each window that holds a template's shingle."""
+        hits = F.filter(F.transform(shingles, lambda h, i: F.when(h.isin(known_hashes), i)), F.isnotnull)
+        window = lambda c, start: F.struct(c.alias("class"), start.cast("int").alias("start"))
+        both = lambda c, i: F.array(window(c, F.floor(i / c) * c), window(c, F.greatest(F.floor(i / c) * c - c, F.lit(0))))
+        met = _bound(hits, lambda own: F.array_distinct(F.flatten(F.flatten(F.transform(F.array(*[F.lit(c) for c in classes]), lambda c: F.transform(own, lambda i: both(c, i)))))))
+        found = lambda w: F.array_distinct(F.slice(shingles, w["start"] + 1, 2 * w["class"] - WIDTH + 1))
+        return F.transform(met, lambda w: F.struct(w["class"].alias("class"), w["start"].alias("start"), found(w).alias("found")))
+
+    # an outer generator and a filter after it: a filter on the arrays before it would make Spark build them again for each use
+    cut = _bound(_shingles(_words(F.col(text_col))), windows)
+    windowed = docs.select(F.col(id_col).alias("id"), F.inline_outer(cut)).where("class is not null")
     banded = windowed.select("id", "class", "start", "found", F.inline(_signature(F.col("found"))))
     retrieved = banded.join(F.broadcast(bands), ["class", "band", "value"])
     contained = F.size(F.array_intersect("own", "found")) / F.size("own")
