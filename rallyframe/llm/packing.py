@@ -14,6 +14,8 @@ empty table gives an empty table; input columns other than id and text are not r
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,39 +27,73 @@ from pyspark.sql import functions as F
 from rallyframe.plans.scratch import stash
 
 SLOTS = 64
-#: Pre-tokens whose ids a worker keeps; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Pre-tokens, and stretches of text between blanks, whose ids a worker keeps; beyond that it starts anew.
+REMEMBERED = 300_000
+#: A blank followed by more white space: there a blank may not begin a pre-token.
+_WIDE_GAP = re.compile(r" \s")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + at) for at, b in enumerate(others)}
+
+
+class _PreTokens(dict):
+    """The ids of pre-tokens as little-endian unsigned 32-bit integers, encoded by the model on first use."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        simple = part[0] == " " and part[1:].isalpha() and part.isascii()
+        letters = self.letters[32] + part[1:] if simple else part.encode("utf-8").decode("latin-1").translate(self.letters)
+        tokens = self.model.tokenize(letters)
+        found = self[part] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return found
 
 
 class _Ids(dict):
-    """The ids of pre-tokens as little-endian unsigned 32-bit integers, encoded on first use."""
+    """The ids of stretches of text between blanks, the blank before included.
 
-    def __init__(self, path: str):
+    The pre-token rule begins a pre-token at a blank unless more white space follows it, so texts without such gaps
+    fall apart at their blanks, and a stretch met again needs no splitting.
+    """
+
+    def __init__(self, path: str, pattern: str, special: tuple[str, ...]):
         super().__init__()
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.special, self.split = Tokenizer.from_file(path), special, regex.compile(pattern).findall
+        self.parts = _PreTokens(self.tokenizer.model)
 
-    def __missing__(self, part: str) -> bytes:
+    def __missing__(self, stretch: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = self[part] = self.encode(part)
+        word = stretch[1:].isalpha() and stretch[0] == " " and stretch.isascii()  # one pre-token
+        found = self[stretch] = self.parts[stretch] if word else b"".join([self.parts[part] for part in self.split(stretch)])
         return found
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if any(s in text for s in self.special):  # special tokens are cut out before pre-tokens: the tokenizer takes the text whole
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if _WIDE_GAP.search(text):  # a byte-level BPE never merges across pre-tokens
+            return b"".join([self.parts[part] for part in self.split(text)])
+        first, *rest = text.split(" ")
+        return self[first] + b"".join([self[" " + stretch] for stretch in rest])
 
 
 def _tokenised(batches: Iterator[pd.DataFrame], path: str, pattern: str, special: tuple[str, ...], capacity: int, end: int, keep_ids: bool) -> Iterator[pd.DataFrame]:
-    import regex
-
-    split, ids, closing = regex.compile(pattern).findall, _Ids(path), np.array([end], "<u4").tobytes()
+    ids, closing = _Ids(path, pattern, special), np.array([end], "<u4").tobytes()
     for batch in batches:
         rows = []
         for at, text in zip(batch["id"], batch["text"], strict=True):
-            # a byte-level BPE never merges across pre-tokens; a text that holds a special token's string goes through the tokenizer whole
-            known = ids.encode(text) if any(s in text for s in special) else b"".join([ids[part] for part in split(text)])
-            raw = known + closing
+            raw = ids.encode(text) + closing
             n = len(raw) // 4
             start, stop, piece = 0, (n - 1) % capacity + 1, 0
             while start < n:
@@ -152,7 +188,7 @@ def _placed(batches: Iterator[pd.DataFrame], table: dict[str, np.ndarray]) -> It
 def pack(docs: DataFrame, tokenizer_path: str, pattern: str, special: tuple[str, ...] = ("<|endoftext|>",), capacity: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Per piece: the id, piece, start, length, ids_crc32, ids (null unless keep_ids; little-endian unsigned 32-bit), sequence_id and offset.
 
-    pattern: the tokenizer's rule for pre-tokens. special: strings it takes for tokens. end: the id that closes a document.
+    The tokenizer is a byte-level BPE; pattern is its rule for pre-tokens, none of which holds a blank but as its first character or in a run of white space. special: strings it takes for tokens. end: the id that closes a document.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
