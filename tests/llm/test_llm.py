@@ -42,6 +42,7 @@ def linked(ids, pairs):
 
 
 def test_packing_is_gapless_and_whole(spark, docs):
+    import public_tokenizers
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -216,3 +217,16 @@ def test_pipeline_stages(spark, docs):
     assert left.count() > 0
     edge = corpus_pipeline.near_duplicates(spark, docs, FOLDER)
     assert edge.where("doc_id is null").count() == 1 and edge.where("doc_id in (4, 5)").count() == 1
+
+
+def test_pre_token_ids_equal_the_tokenizers():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids, whole, draw = packing._Ids(path, public_tokenizers.PATTERN, ("<|endoftext|>",)), Tokenizer.from_file(path), random.Random(3)
+    parts = [" ", "  ", "\n", " \n", "\t", "\r\n", "a", "Ab", "é", "ß", "中文", "١٢", "12", "'s", "'", "don't", "!", "?!", "\u00a0", "\u3000", "\x1c", "\x85", "😀", "e\u0301", "<|endoftext|>", "_", "."]
+    for _ in range(5000):
+        text = "".join(draw.choices(parts, k=draw.randint(0, 9)))
+        assert ids.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
