@@ -1,30 +1,37 @@
 """Quality rules: counted rules, then a hashed n-gram log-likelihood ratio of every document.
 
-Words and word pairs are hashed into ``BUCKETS`` buckets. Two smoothed multinomials are counted over whole texts:
-the trusted target (documents whose ids are given as trusted) and the raw corpus (all documents). A document's
-score is the mean over its n-grams of log(target / raw); one below ``THRESHOLD`` is rejected. Everything is built
-from DataFrame functions: the ratio table is one row of bounded size, read as a scalar subquery.
-
-Defined cases: a null or blank text has no words and fails the base rules; with no trusted documents or an empty
-corpus all ratios are 0 and only the base rules decide; rows that repeat an id are scored alike; input columns named
-like a result column are replaced.
+Words and word pairs are hashed into buckets, whose number follows the distinct n-grams of the corpus (``LOAD`` in each),
+so that a bucket stays as sharp on a larger corpus. Two smoothed multinomials are counted over whole texts: the trusted
+target (documents whose ids are given as trusted) and the raw corpus (all documents). A document's score is the mean
+over its n-grams of log(target / raw), its own n-grams left out of either count; one below ``THRESHOLD`` is rejected.
+The counts are a table that texts are joined with: broadcast as far as ``BROADCAST`` rows, shuffled above.
+
+Defined cases: a null or blank text has no words and fails the base rules; with no trusted documents, an empty corpus or
+nothing left beside a document all its ratios are 0 and only the base rules decide; rows alike in text and trust are
+scored alike; input columns named like a result column are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.llm.text import SPACES, words
-from rallyframe.plans.scratch import sized_join
-
-BUCKETS = 1 << 12
+from rallyframe.plans.scratch import sized_join, stash
+
+#: Distinct n-grams to a bucket at most, and the fewest buckets (a power of two).
+LOAD, LEAST_BUCKETS = 32, 1 << 12
+#: Distinct n-grams are counted among those of one in so many hashes, as a power of two.
+SAMPLED_BITS = 6
+#: Rows of the bucket table that are broadcast at most.
+BROADCAST = 1 << 22
 #: Mean log ratio under which a document is rejected.
 THRESHOLD = -0.04
-#: Added to each bucket's count, in n-grams.
-SMOOTHING = 20.0
+#: Added to each bucket's count, as a share of the mean count of a bucket.
+SMOOTHING = 1.0
 #: Bits of a packed window that hold its place in the text.
 PLACE_BITS = 20
 SYMBOLS = "[#*$%&|<>]"
@@ -71,10 +78,10 @@ def _hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def counted(text: Column, score: Callable[[Column, Column], Column] | None = None) -> Column:
-    """The counted rules of a text as a struct of ``BASE``, and of llr, which ``score`` makes of word and pair hashes."""
+def counted(text: Column) -> Column:
+    """The counted rules of a text as a struct of ``BASE``."""
 
-    def rules(ws: Column, hashes: Column, pairs: Column, at: Column, lines: Column) -> Column:
+    def rules(ws: Column, at: Column, lines: Column) -> Column:
         gaps = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.least(b - a, F.lit(3)))
         covered = F.when(at.isNull(), F.lit(0)).otherwise(F.aggregate(gaps, F.lit(3), lambda x, y: x + y)).cast("long")
         whole = F.coalesce(text, F.lit(""))
@@ -88,42 +95,93 @@ def counted(text: Column, score: Callable[[Column, Column], Column] | None = Non
                 (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
                 repeated.alias("n_repeat_words"),
                 ((n < 50) | (100 * repeated > 50 * n)).alias("base_failed"),
-                (F.lit(None).cast("double") if score is None else score(hashes, pairs)).alias("llr"),
             ),
         )
 
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    return let(words(text), lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: let(_pairs(hs), lambda ps: let(_windows(hs, ps), lambda win: let(_seen_twice(win), lambda at: let(lines, lambda ls: rules(ws, hs, ps, at, ls)))))))
+    return let(words(text), lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: let(_pairs(hs), lambda ps: let(_windows(hs, ps), lambda win: let(_seen_twice(win), lambda at: let(lines, lambda ls: rules(ws, at, ls)))))))
+
+
+def _grams(text: Column) -> Column:
+    """A hash for each word and each pair of neighbours."""
+    return let(_hashes(text), lambda hs: F.concat(hs, _pairs(hs)))
+
+
+def _in_bucket(h: Column, buckets: int) -> Column:
+    return h.bitwiseAND(F.lit(buckets - 1))
+
+
+def _runs(values: Column) -> Column:
+    """(b, k): each different value and how often it occurs."""
+
+    def bound(own: Column) -> Column:
+        starts = F.filter(F.transform(own, lambda x, i: F.when((i == 0) | (x != F.get(own, i - 1)), i)), F.isnotnull)
+        return let(starts, lambda at: F.zip_with(at, F.slice(at, 2, F.size(at)), lambda i, j: F.struct(F.get(own, i).alias("b"), (F.coalesce(j, F.size(own)) - i).alias("k"))))
+
+    return let(F.sort_array(values), bound)
 
 
-def ratio_table(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row, one column: log(target / raw) by bucket. trusted: ids (column ``id_col``) of the target's documents."""
-    spark = docs.sparkSession
+@dataclass
+class Ratios:
+    """Counts of n-grams by bucket (__b, __raw, __target; buckets that occur), their totals, and the trusted ids."""
+
+    counts: DataFrame
+    rows: int
+    buckets: int
+    raw: int
+    target: int
+    trusted: DataFrame
+    n_trusted: int
+    id_col: str
+
+    def flagged(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with __of: 1 for trusted rows, else null."""
+        return sized_join(docs, self.trusted, [self.id_col], "left", self.n_trusted)
+
+
+def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
+    """Buckets for the distinct n-grams of ``docs``: a power of two, ``LEAST_BUCKETS`` at least."""
+    some = F.filter(_grams(F.col(text_col)), lambda h: F.shiftrightunsigned(h, 64 - SAMPLED_BITS) == 0)
+    n = docs.select(F.explode(some).alias("__h")).agg(F.approx_count_distinct("__h")).first()[0] << SAMPLED_BITS
+    return max(LEAST_BUCKETS, 1 << (max(-(-n // LOAD), 1) - 1).bit_length())
+
+
+def ratio_table(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ratios:
+    """The counts of ``docs``. trusted: ids (column ``id_col``) of the target's documents."""
     ids = trusted.select(id_col).distinct().withColumn("__of", F.lit(1))
-    flagged = sized_join(docs.select(id_col, text_col), ids, [id_col], "left", ids.count())
-    grams = flagged.select("__of", F.explode_outer(let(_hashes(F.col(text_col)), lambda hs: F.concat(hs, _pairs(hs)))).alias("__h")).where("__h is not null")
-    both = grams.groupBy(F.col("__h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("__b")).agg(F.count("*").alias("raw"), F.count("__of").alias("target"))
-    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("__b"))
-    both = every.join(both, "__b", "left").na.fill(0, ["raw", "target"])
-    listed = both.agg(F.sort_array(F.collect_list(F.struct("__b", "raw", "target"))).alias("__all"), F.sum("raw").alias("__r"), F.sum("target").alias("__t"))
-    whole = SMOOTHING * BUCKETS
-    ratio = F.transform("__all", lambda x: (F.log((x["target"] + SMOOTHING) / (F.col("__t") + whole)) - F.log((x["raw"] + SMOOTHING) / (F.col("__r") + whole))))
-    return listed.select(F.when(F.col("__t") > 0, ratio).otherwise(F.array_repeat(F.lit(0.0), BUCKETS)).alias("ratio"))
-
-
-def judge(docs: DataFrame, ratios: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, more: list[str] | None = None) -> DataFrame:
+    out = Ratios(docs, 0, bucket_count(docs, text_col), 0, 0, ids, ids.count(), id_col)
+    grams = out.flagged(docs.select(id_col, text_col)).select("__of", F.explode(_grams(F.col(text_col))).alias("__h"))
+    out.counts = stash(grams.groupBy(_in_bucket(F.col("__h"), out.buckets).alias("__b")).agg(F.count("*").alias("__raw"), F.count("__of").alias("__target")), "ratios")
+    out.rows, raw, target = out.counts.agg(F.count("*"), F.sum("__raw"), F.sum("__target")).first()
+    out.raw, out.target = raw or 0, target or 0
+    return out
+
+
+def scores(flagged: DataFrame, ratios: Ratios, text_col: str = "text", among: bool = True) -> DataFrame:
+    """llr of every different text with words, by trust (__of, 0 or 1) and the text's two hashes (__t, __u)."""
+    grams = _runs(F.transform(_grams(F.col(text_col)), lambda h: _in_bucket(h, ratios.buckets)))
+    own = flagged.select("__of", "__t", "__u", F.explode(let(grams, lambda gs: let(F.aggregate(gs, F.lit(0).cast("long"), lambda n, g: n + g["k"]), lambda n: F.transform(gs, lambda g: F.struct(g["b"].alias("b"), g["k"].alias("k"), n.alias("n")))))).alias("__g"))
+    own = own.select("__of", "__t", "__u", F.col("__g.b").alias("__b"), F.col("__g.k").alias("__k"), F.col("__g.n").alias("__n"))
+    met = sized_join(own, ratios.counts, ["__b"], "left", ratios.rows, BROADCAST)
+    less, less_all = (F.col("__k"), F.col("__n")) if among else (F.lit(0), F.lit(0))
+    raw, target = ratios.raw - less_all, ratios.target - less_all * F.col("__of")
+    each = SMOOTHING / ratios.buckets
+    rarer = F.log((F.coalesce("__target", F.lit(0)) - less * F.col("__of") + each * target) / (F.coalesce("__raw", F.lit(0)) - less + each * raw)) - F.log(target / raw)
+    ratio = F.when((raw > 0) & (target > 0), rarer).otherwise(0.0)
+    return met.groupBy("__of", "__t", "__u").agg((F.sum(F.col("__k") * ratio) / F.sum("__k")).alias("llr"))
+
+
+def judge(docs: DataFrame, ratios: Ratios, text_col: str = "text", threshold: float = THRESHOLD, more: list[str] | None = None, among: bool = True) -> DataFrame:
     """Every row of ``docs`` with the columns of ``BASE``, llr (mean log ratio; null without words) and kept.
 
-    ratios: a ``ratio_table``. more: the input columns to keep, by default all.
+    ratios: a ``ratio_table``. more: the input columns to keep, by default all. among: whether ``docs`` are among the
+    documents that were counted, so that their own counts are left out.
     """
     own = [*BASE, "llr", "kept"]
     left = [c for c in (docs.columns if more is None else more) if c not in own]
-    rows = docs.select(*{*left, text_col}).withColumn("__ratio", ratios.scalar())
-
-    def mean(hashes: Column, pairs: Column) -> Column:
-        total = F.aggregate(F.concat(hashes, pairs), F.lit(0.0), lambda a, h: a + F.get(F.col("__ratio"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")))
-        return total / F.nullif(F.size(hashes) + F.size(pairs), F.lit(0))
-
-    judged = rows.withColumn("__v", counted(F.col(text_col), mean))
-    kept = ~F.col("__v.base_failed") & F.coalesce(F.col("__v.llr") >= threshold, F.lit(False))
-    return judged.select(*left, *[F.col(f"__v.{c}").alias(c) for c in (*BASE, "llr")], kept.alias("kept"))
+    flagged = ratios.flagged(docs.select(*{*left, text_col, ratios.id_col})).withColumn("__of", F.coalesce("__of", F.lit(0)))
+    flagged = flagged.withColumns({"__t": F.xxhash64(F.lit(1), text_col), "__u": F.xxhash64(F.lit(2), text_col)})
+    base = flagged.select(*left, "__of", "__t", "__u", counted(F.col(text_col)).alias("__v"))
+    judged = base.join(scores(flagged, ratios, text_col, among), ["__of", "__t", "__u"], "left")
+    kept = ~F.col("__v.base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False))
+    return judged.select(*left, *[F.col(f"__v.{c}").alias(c) for c in BASE], "llr", kept.alias("kept"))

@@ -129,6 +129,49 @@ def test_quality_rules_match_brute_force(spark, docs):
     assert quality_rules.judge(docs.limit(0), none).count() == 0
 
 
+def test_quality_ratios_leave_own_counts_out(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 7 + j * j) % (40 + 9 * i)}" for j in range(30 + i))) for i in range(12)] + [(3, "w1 w1 w2"), (20, "only here " * 30), (21, None), (None, "w1 w2")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = {0, 3, 4, 20}
+    ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
+    hashed = table.select("doc_id", "text", quality_rules._grams(F.col("text")).alias("h")).collect()
+    buckets = quality_rules.bucket_count(table)
+    grams = [(r.doc_id, r.text, [h % buckets for h in r.h]) for r in hashed]
+    raw, target = Counter(), Counter()
+    for i, _, g in grams:
+        raw.update(g)
+        target.update(g if i in trusted else [])
+    want = {}
+    for i, text, g in grams:
+        of, k = i in trusted, Counter(g)
+        r, t = raw.total() - len(g), target.total() - of * len(g)
+        each = [np.log((target[b] - of * k[b] + t / buckets) / (raw[b] - k[b] + r / buckets)) - np.log(t / r) for b in g]
+        want[i, text] = np.mean(each) if g else None
+    for limit in (quality_rules.BROADCAST, 0):  # broadcast and shuffled
+        monkeypatch.setattr(quality_rules, "BROADCAST", limit)
+        got = quality_rules.judge(table, quality_rules.ratio_table(table, ids)).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert r.llr == (want[r.doc_id, r.text] if r.text is None else pytest.approx(want[r.doc_id, r.text], abs=1e-9))
+            assert r.kept == (not r.base_failed and r.llr is not None and r.llr >= quality_rules.THRESHOLD)
+        # what only a document itself holds says nothing about it
+        assert next(r.llr for r in got if r.doc_id == 20) == pytest.approx(0, abs=1e-9)
+
+
+def test_quality_buckets_follow_the_corpus(spark):
+    table = spark.range(4000).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 99), i -> concat('w', id * 100 + i)), ' ') AS text")
+    n = 4000 * (100 + 99)
+    assert n / quality_rules.LOAD / 1.2 <= quality_rules.bucket_count(table) <= 2.4 * n / quality_rules.LOAD
+    assert quality_rules.bucket_count(table.limit(5)) == quality_rules.LEAST_BUCKETS
+
+
+def test_quality_rules_reject_junk_and_keep_clean(spark):
+    got = QUERIES["op3_quality_rules"](spark, "/root/testdata/sf0.1").where("n_words >= 50").select("doc_id", "llr").toPandas()
+    labels = pd.read_parquet("/root/testdata/sf0.1/labels.parquet").merge(got, on="doc_id")
+    rejected = labels.llr < quality_rules.THRESHOLD
+    assert rejected[labels.quality == 0].mean() > 0.9 and rejected[labels.quality == 1].mean() < 0.02
+
+
 def test_mixing_comes_near_its_targets(spark, docs):
     got = QUERIES["op5_mix"](spark, FOLDER).toPandas()
     assert (got.taken <= 2 * got["size"]).all()
