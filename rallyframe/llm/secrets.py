@@ -1,29 +1,35 @@
 """Secret scans: candidate strings, then a random forest that removes false positives.
 
-Candidates are runs of 16 or more key characters, with the text before them. Features: length, character transitions
+Candidates are whole runs of 16 or more key characters, or of 6 or more right after an assignment to a secret word, each
+occurrence with the text before it. Features: length, character transitions
 (changes of class between neighbours), dictionary coverage (the share of characters in known words), the path the text
 came from, and the neighbouring words. A forest is trained on labelled findings (by default ``labelled_findings``) and
 compiled into one column expression, so scanning and redacting are each one pass of DataFrame functions without a shuffle.
 
 Defined cases: null and empty texts hold no candidates; texts are scanned whole; a candidate that occurs several times in
-a text is one finding at its first place; rows that repeat an id give each their findings; a null path is an unknown path;
+a text is one finding at its first place, with the highest score of all its places; rows that repeat an id give each their findings; a null path is an unknown path;
 an empty table gives an empty table; input columns other than id, text and path are not read by ``scan`` and kept as they
 are by ``redact``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate: a whole run of key characters (possessive, so a run is tried once).
-RUN = r"[A-Za-z0-9+/_\-]{16,}+"
+from rallyframe.llm.quality_rules import let
+
 #: Characters in front of a candidate that count as its neighbourhood.
 BEFORE = 48
 #: Words that name secrets.
 SECRET_WORDS = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "private_key", "credential", "auth", "bearer"]
+#: A candidate: a whole run of key characters (possessive, so a run is tried once); shorter ones only as the value of a secret word.
+_KEY, _SET = r"[A-Za-z0-9+/_\-]", r"[\"']?\s{0,2}[=:]\s{0,2}[\"']?"
+RUN = rf"(?<!{_KEY})(?:{_KEY}{{16,}}+|(?<=[=:]\s{{0,2}}[\"']?)(?<=(?i:{'|'.join(SECRET_WORDS)}){_SET}){_KEY}{{6,15}}+(?!{_KEY}))"
 #: Words that name harmless identifiers.
 HARMLESS_WORDS = ["sha1", "sha256", "md5", "commit", "checksum", "digest", "uuid", "etag", "revision", "build", "version", "fingerprint"]
 #: Words that stand for a value in examples and templates.
@@ -90,6 +96,11 @@ def labelled_findings(spark: SparkSession, each: int = 250) -> DataFrame:
         (F.concat_ws("-", plain("y"), F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("string")), pick("", "id ", "/", "page "), 0),
         (F.lpad(F.pmod(F.xxhash64("id", F.lit("n")), F.lit(10**16)).cast("string"), 16, "4"), pick("", "was ", "number ", "card "), 0),
         (F.concat(pick("your_", "example_", "test_", "sample_"), F.lit("password_here")), pick("password=", "token = ", 'secret: "'), 0),
+        (F.substring(hexes, 5, 10), pick("password = ", "pwd=", 'secret: "', 'token = "'), 1),
+        (F.concat(F.substring(plain("w"), 1, 6), F.pmod(F.xxhash64("id"), F.lit(900)).cast("string")), pick("password = ", "passwd=", 'pwd: "', "secret="), 1),
+        (F.substring(alnum("t"), 1, 12), pick("password=", 'secret = "', "token: ", "api_key="), 1),
+        (F.substring(plain("z"), 1, 12), pick("password = ", "token: ", 'secret: "', "auth="), 0),
+        (pick("changeme", "your_key", "example1", "test_token", "dummy123", "placeholder", "password1", "sample_key"), pick("password=", "token = ", 'secret: "'), 0),
         (F.concat(F.lit("AKIA"), F.rpad(pick("EXAMPLEKEY", "SAMPLE", "TESTDUMMY"), 16, "EXAMPLE")), pick("key ", "aws_access_key_id = "), 0),
     ]
     ids = spark.range(0, each, 1, 1)
@@ -125,27 +136,38 @@ def score(model: RandomForestClassificationModel, row: Column) -> Column:
     return total / len(model.trees)
 
 
-def findings(model: RandomForestClassificationModel, text: Column, path: Column) -> Column:
-    """Every candidate of a text: an array of (start, candidate, score), in order of first occurrence."""
-    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)))
-    # each step binds what the next one uses, so nothing is evaluated twice
-    placed = F.transform(runs, lambda c: F.struct(c.alias("c"), F.instr(text, c).alias("at")))
-    seen = F.transform(placed, lambda p: F.struct(p["c"].alias("c"), p["at"].alias("at"), F.substring(text, F.greatest(p["at"] - BEFORE, F.lit(1)), F.least(p["at"] - 1, F.lit(BEFORE))).alias("b")))
-    made = F.transform(seen, lambda p: F.struct(p["c"].alias("c"), p["at"].alias("at"), F.struct(*features(p["c"], p["b"], path)).alias("f")))
-    return F.transform(made, lambda p: F.struct((p["at"] - 1).cast("long").alias("start"), p["c"].alias("candidate"), score(model, p["f"]).alias("score")))
+def findings(model: RandomForestClassificationModel, text: Column, path: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of the stretches between candidates and of the (start, candidate, score) of every occurrence, in order.
+
+    The score is the highest of all places of the candidate in the text.
+    """
+
+    def scored(gaps: Column, runs: Column) -> Column:
+        # each step binds what the next one uses, so nothing is evaluated twice
+        sizes = F.zip_with(F.slice(gaps, 1, F.size(runs)), runs, lambda g, c: F.struct(F.length(g).alias("g"), F.length(c).alias("c")))
+        ends = F.aggregate(sizes, F.array(F.lit(0)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n["g"] + n["c"])))
+        placed = let(ends, lambda at: F.transform(runs, lambda c, i: F.struct(c.alias("c"), (F.get(at, i + 1) - F.length(c)).alias("at"))))
+        seen = F.transform(placed, lambda p: F.struct(p["c"].alias("c"), p["at"].alias("at"), F.substring(text, F.greatest(p["at"] - BEFORE, F.lit(0)) + 1, F.least(p["at"], F.lit(BEFORE))).alias("b")))
+        made = F.transform(seen, lambda p: F.struct(p["c"].alias("c"), p["at"].alias("at"), F.struct(*features(p["c"], p["b"], path)).alias("f")))
+        each = F.transform(made, lambda p: F.struct(p["at"].cast("long").alias("start"), p["c"].alias("candidate"), score(model, p["f"]).alias("score")))
+        best = lambda ps, c: F.array_max(F.transform(F.filter(ps, lambda p: p["candidate"] == c), lambda p: p["score"]))
+        top = let(each, lambda ps: let(F.transform(F.array_distinct(runs), lambda c: F.struct(c.alias("c"), best(ps, c).alias("s"))), lambda ds: F.transform(ps, lambda p: F.struct(p["start"].alias("start"), p["candidate"].alias("candidate"), F.get(F.filter(ds, lambda d: d["c"] == p["candidate"]), F.lit(0))["s"].alias("score")))))
+        return let(top, lambda ps: body(gaps, ps))
+
+    return let(F.split(text, RUN, -1), lambda gaps: let(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda runs: scored(gaps, runs)))
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", least_score: float = LEAST_SCORE) -> DataFrame:
     """One row per candidate: the id, start (of its first occurrence), candidate, score and is_secret."""
     rows = docs.where(F.rlike(F.col(text_col), F.lit(RUN)))
-    found = rows.select(F.col(id_col).alias("__id"), F.explode(findings(model, F.col(text_col), F.col(path_col).cast("string"))).alias("__f"))
+    first = lambda _, ps: let(F.transform(ps, lambda p: p["candidate"]), lambda cs: F.filter(ps, lambda p, i: F.array_position(cs, p["candidate"]) == i + 1))
+    found = rows.select(F.col(id_col).alias("__id"), F.explode(findings(model, F.col(text_col), F.col(path_col).cast("string"), first)).alias("__f"))
     return found.select(F.col("__id").alias(id_col), "__f.start", "__f.candidate", "__f.score", (F.col("__f.score") >= least_score).alias("is_secret"))
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, mark: str = "[SECRET]", text_col: str = "text", path_col: str = "source", least_score: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` with every occurrence of every secret replaced by ``mark``, text by text, longer secrets first; no row moves."""
+    """``docs`` with every occurrence of every secret replaced by ``mark``, by place; no row moves."""
     text = F.col(text_col)
-    found = F.filter(findings(model, text, F.col(path_col).cast("string")), lambda f: f["score"] >= least_score)
-    longest = F.sort_array(F.transform(found, lambda f: F.struct(F.length(f["candidate"]).alias("n"), f["candidate"].alias("c"))), False)
-    clean = F.aggregate(longest, text, lambda kept, f: F.replace(kept, f["c"], F.lit(mark)))
+    masked = lambda gaps, ps: F.array_join(F.zip_with(gaps, ps, lambda g, p: F.concat(g, F.when(p["score"] >= least_score, F.lit(mark)).otherwise(F.coalesce(p["candidate"], F.lit(""))))), "")
+    clean = findings(model, text, F.col(path_col).cast("string"), masked)
     return docs.withColumn(text_col, F.when(F.rlike(text, F.lit(RUN)), clean).otherwise(text))

@@ -222,6 +222,31 @@ def test_secrets(spark, docs):
     assert secrets.redact(docs, model).count() == docs.count() and secrets.scan(docs.limit(0), model).count() == 0
 
 
+def test_secrets_are_scored_at_every_place(spark):
+    model = secrets.train(secrets.labelled_findings(spark))
+    d, e = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567", "f1e2d3c4b5a69788796a5b4c3d2e1f0011223344"
+    rows = [
+        (1, f'commit {d} is fine; later on in the file secret = "{d}" and ü', "src"),
+        (2, f'secret = "{d}" was set, and much further down in the text: commit {e} is no key', "src"),
+        (3, f'commit {d}{e} then a long way of words to go on with token = "{d}" end', "src"),
+        (4, 'password = "hunter22" and password = changeme, token: string', "src"),
+        (5, f"commit {d} and commit {e} and a long way of other words to commit {d}", "src"),
+        (6, "x" * 15 + " hunter22 other words", "src"),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clean = {r.doc_id: r.text for r in secrets.redact(table, model).collect()}
+    assert clean[1] == 'commit [SECRET] is fine; later on in the file secret = "[SECRET]" and ü'
+    assert clean[2] == f'secret = "[SECRET]" was set, and much further down in the text: commit {e} is no key'
+    assert clean[3] == f'commit {d}{e} then a long way of words to go on with token = "[SECRET]" end'
+    assert clean[4] == 'password = "[SECRET]" and password = changeme, token: string'
+    assert clean[5] == rows[4][1] and clean[6] == rows[5][1]
+    for r in secrets.scan(table, model).collect():
+        text = rows[r.doc_id - 1][1]
+        key = "[A-Za-z0-9+/_-]"
+        assert r.start == re.search(f"(?<!{key}){re.escape(r.candidate)}(?!{key})", text).start()
+    assert secrets.scan(table, model).groupBy("doc_id", "candidate").count().where("count > 1").count() == 0
+
+
 def test_quality_classifier(spark, docs):
     got = QUERIES["op9_quality_classifier"](spark, "/root/testdata/sf0.01").toPandas()
     labels = pd.read_parquet("/root/testdata/sf0.01/labels.parquet").merge(got, on="doc_id")
