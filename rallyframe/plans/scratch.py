@@ -1,7 +1,8 @@
 """Intermediate tables in the shared folder the session names in ``spark.checkpoint.dir``.
 
 Iterative operators write what they need more than once as Parquet there and read it back: that cuts the
-lineage, survives the loss of any executor, and lets later steps read only the columns they need.
+lineage, survives the loss of any executor, and lets later steps read only the columns they need. Tables are deleted
+as soon as nothing reads them any more (``unstash``), the last ones when the application ends.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared scratch folder: ``spark.checkpoint.dir``; if unset, the warehouse, or on local masters a temporary folder."""
+    """The shared scratch folder: ``spark.checkpoint.dir``; a temporary folder on local masters where that is unset."""
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="rallyframe-")
@@ -30,8 +32,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/rallyframe/{name}-{uuid.uuid4().hex}"
+    """A path of its own for a table, deleted when the application ends."""
+    path = f"{scratch_dir(spark)}/rallyframe/{name}-{uuid.uuid4().hex}"
+    system, at = _file_system(spark, path)
+    system.deleteOnExit(at)
+    return path
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -41,13 +52,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def unstash(df: DataFrame) -> None:
-    """Delete the files of a stashed table that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/rallyframe/" in path:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def unstash(*tables: DataFrame) -> None:
+    """Delete the files of stashed tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/rallyframe/" in path:
+                system, at = _file_system(df.sparkSession, path)
+                system.delete(at, True)
 
 
 def sized_join(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int, limit: int = 1_000_000) -> DataFrame:
