@@ -1,235 +1,364 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
 Documents with equal shingle sets form one class, so copies, however many, are compared once. Each class has a MinHash
-signature. A tree's root holds all classes; a node chooses each signature place with probability 1 / (threshold *
-places), the same for all its classes, and a class moves to the child named by its value there: 1 / threshold children
-on average. Pairs at the threshold stay together with one child expected a level. Nodes of at most ``SMALL`` classes are
-compared exhaustively; larger ones branch again, and those still large after ``DEPTH`` levels are compared in blocks of
-``BLOCK`` against ``BLOCK``, so nothing is capped. ``TREES`` independent trees give the recall (over 0.999 at the
-threshold for nodes that branch up to three times).
-
-To keep dense groups from emitting all their pairs, the first trees link each node's classes to one pivot; what these
-links connect is not compared again, and nodes that hold one component drop out. Every link is confirmed on the full
-shingle sets.
-
-Defined cases: null and blank texts have an empty set, link with nothing and form their own component; rows that repeat
-an id and text share a class; null ids get a null component and kept false; an empty table gives an empty table; input
-columns other than id and text are not read, so their names cannot clash.
+signature. A tree's root holds all classes; a node chooses each of the first ``PLACES`` signature places with probability
+1 / (threshold * places), the same for all its classes, and a class moves to the child named by its value there:
+1 / threshold children on average. Pairs at the threshold stay together with one child expected a level. Nodes of at most
+``small`` classes are compared exhaustively; larger ones branch again, and those still large after ``DEPTH`` levels are
+compared in blocks of ``block`` classes, so nothing is capped. ``TREES`` independent trees give the recall (over 0.997 at
+the threshold for nodes that branch up to three times, far higher for nodes that need not).
+
+Dense groups never emit their pairs. The first trees compare each node's classes with one pivot; what these links connect
+is one component and is not compared again, and nodes that hold one component drop out. In the other nodes signatures
+are compared first, and only classes that have a likely partner of another component go on, in the first tree only where
+the two meet. Their whole shingle sets then meet once more by node: every pair of different components is compared
+exactly, and each node returns the links that connect its components, not all pairs.
+
+Defined cases: null and blank texts have an empty set, link with nothing and form their own component; classes are keyed
+by the digest of their set, so rows that share an id, or have none, are compared as the texts they hold; rows that repeat
+an id each get a row; rows without an id count as texts, but a component is named by its smallest id that is not null, and
+kept is false for them; an empty table gives an empty table; input columns other than id and text are not read, so their
+names cannot clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyframe.llm.components import components
+from rallyframe.llm.runs import runs
 from rallyframe.llm.shingles import digest, factors, mixed, shingle_set, signature
-from rallyframe.plans.scratch import sized_join, stash
+from rallyframe.plans.scratch import sized_join, stash, unstash
 
-PLACES = 64
+#: Signature places with 32 bits, by which nodes branch, and places of which one byte is kept for comparing.
+PLACES, BYTES = 64, 192
 TREES = 16
-#: Trees whose nodes link to pivots first.
+#: Trees whose nodes are compared with a pivot first; two in a row choose pivots in the same order.
 STARS = 4
 SMALL = 64
-BLOCK = 1024
+BLOCK = 256
 DEPTH = 3
 #: Standard deviations that a signature's estimate may fall short of the threshold.
 SLACK = 4.0
 SEED = 5
 
 
+def _least(threshold: float, places: int, slack: float = SLACK) -> int:
+    """Places that must agree, of so many, for a pair to be compared exactly."""
+    return int(np.floor(places * threshold - slack * np.sqrt(places * threshold * (1 - threshold))))
+
+
 def _documents(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-    """id, n_shingles, key (digest of the set; null if empty) and signature of each text."""
-    own = factors(PLACES, SEED)
+    """id, hash, n_shingles, key (digest of the set; null if empty) and signature of each text."""
+    own = factors(PLACES + BYTES, SEED)
     for batch in batches:
         rows = []
-        for at, text in zip(batch["id"], batch["text"], strict=True):
+        for at, code, text in zip(batch["id"], batch["hash"], batch["text"], strict=True):
             found = shingle_set(text, width)
-            rows.append((at, len(found), digest(found) if len(found) else None, signature(found, own).tobytes() if len(found) else None))
-        yield pd.DataFrame(rows, columns=["id", "n", "key", "sig"])
+            if not len(found):
+                rows.append((at, code, 0, None, None))
+                continue
+            values = signature(found, own)
+            rows.append((at, code, len(found), digest(found), values[:PLACES].tobytes() + values[PLACES:].astype(np.uint8).tobytes()))
+        yield pd.DataFrame(rows, columns=["id", "hash", "n", "key", "sig"]).astype({"id": "Int64"})
 
 
 def _sets(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = [shingle_set(text, width) for text in batch["text"]]
-        yield pd.DataFrame({"id": batch["id"], "key": [digest(x) if len(x) else None for x in found], "shingles": [x.tobytes() for x in found]})
+        yield pd.DataFrame({"key": [digest(x) for x in found], "shingles": [x.tobytes() for x in found]})
 
 
-def _branch(nodes: np.ndarray, sigs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each row in turn its children: (row numbers, child nodes)."""
+def _signatures(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The branching places and the bytes of each signature."""
+    raw = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), 4 * PLACES + BYTES)
+    return np.ascontiguousarray(raw[:, : 4 * PLACES]).view(np.uint32), np.ascontiguousarray(raw[:, 4 * PLACES :])
+
+
+def _draws(nodes: np.ndarray) -> np.ndarray:
+    """A random number for each node and place."""
     places = np.arange(1, PLACES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    draw = mixed(nodes[:, None] ^ places[None, :])
-    row, place = np.nonzero(draw < np.uint64(int(2**64 / (threshold * PLACES))))
-    return row, mixed(draw[row, place] + sigs[row, place].astype(np.uint64))
+    return mixed(nodes[:, None] ^ places[None, :])
 
 
-def _signatures(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint32).reshape(len(column), PLACES)
+def _cut(threshold: float) -> np.uint64:
+    return np.uint64(int(2**64 / (threshold * PLACES)))
 
 
-def _first(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        sigs = _signatures(batch["sig"])
-        ids = batch["id"].to_numpy(np.int64)
-        for tree in range(TREES):
-            root = mixed(np.full(len(batch), tree + 1, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            row, node = _branch(root, sigs, threshold)
-            yield pd.DataFrame({"tree": np.full(len(row), tree, np.int32), "node": node.astype(np.int64), "id": ids[row]})
+def _roots() -> np.ndarray:
+    return mixed(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _next(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+@lru_cache(maxsize=8)
+def _chosen(threshold: float) -> np.ndarray:
+    """Which places the root of each tree chooses."""
+    return _draws(_roots()) < _cut(threshold)
+
+
+def _branch(nodes: np.ndarray, sigs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each row in turn its children: (row numbers, child nodes)."""
+    draw = _draws(nodes)
+    row, place = np.nonzero(draw < _cut(threshold))
+    return row, mixed(draw[row, place] + sigs[row, place].astype(np.uint64))
+
+
+def _first(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
-            row, node = _branch(batch["node"].to_numpy(np.int64).astype(np.uint64), _signatures(batch["sig"]), threshold)
-            yield pd.DataFrame({"tree": batch["tree"].to_numpy()[row], "node": node.astype(np.int64), "id": batch["id"].to_numpy()[row]})
+            sigs, ids = _signatures(batch["sig"])[0], batch["c"].to_numpy(np.int64)
+            for tree, root in enumerate(_roots()):
+                row, node = _branch(np.full(len(batch), root), sigs, threshold)
+                yield pd.DataFrame({"tree": np.full(len(row), tree, np.int32), "node": node.astype(np.int64), "c": ids[row]})
 
 
-def _near(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+def _next(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if len(batch):
-            same = (_signatures(batch["sig_a"]) == _signatures(batch["sig_b"])).sum(axis=1) >= least
-            yield batch.loc[same, ["a", "b"]]
+            row, node = _branch(batch["node"].to_numpy(np.int64).astype(np.uint64), _signatures(batch["sig"])[0], threshold)
+            yield pd.DataFrame({"tree": batch["tree"].to_numpy()[row], "node": node.astype(np.int64), "c": batch["c"].to_numpy()[row]})
 
 
-def _compared(rows: pd.DataFrame, least: int) -> list[pd.DataFrame]:
-    """Pairs of different components within one node whose signatures agree in at least ``least`` places; side 0 against side 1 if two blocks meet."""
-    out = []
-    sigs, ids, labels, side = _signatures(rows["sig"]), rows["id"].to_numpy(), rows["label"].to_numpy(), rows["side"].to_numpy()
-    left = np.flatnonzero(side != 1)
-    right = np.flatnonzero(side != 0)
-    for i in left:
-        other = right[(labels[right] != labels[i]) & ((ids[right] > ids[i]) | (side[right] != side[i]))]
-        if len(other):
-            hit = other[(sigs[other] == sigs[i]).sum(axis=1) >= least]
-            if len(hit):
-                out.append(pd.DataFrame({"a": np.minimum(ids[i], ids[hit]), "b": np.maximum(ids[i], ids[hit])}))
-    return out
+def _likely(left: tuple, right: tuple, threshold: float) -> np.ndarray:
+    """Which rows of two aligned signature lists agree enough to be compared exactly."""
+    out = np.count_nonzero(left[0] == right[0], axis=1)
+    some = np.flatnonzero(out >= _least(threshold, PLACES, SLACK + 1))
+    both = out[some] + np.count_nonzero(left[1][some] == right[1][some], axis=1)
+    found = np.zeros(len(out), bool)
+    found[some] = both >= _least(threshold, PLACES + BYTES)
+    return found
 
 
-def _nodes(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    """Compare node by node in a partition sorted by node; a node may go on in the next batch."""
-    kept: list[pd.DataFrame] = []
+def _near(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        if not len(batch):
-            continue
-        whole = pd.concat([*kept, batch], ignore_index=True)
-        node = whole["node"].to_numpy()
-        cut = np.flatnonzero(node[1:] != node[:-1]) + 1
-        if not len(cut):
-            kept = [whole]
+        if len(batch):
+            yield batch.loc[_likely(_signatures(batch["sig_a"]), _signatures(batch["sig_b"]), threshold), ["a", "b"]]
+
+
+class _Unit:
+    """Rows of one or more nodes (unit, c, label, sig, side, tree, deep, wide): who has a likely partner met here first?"""
+
+    def __init__(self, rows: pd.DataFrame, threshold: float):
+        self.rows, self.threshold = rows, threshold
+        self.values, self.bytes = _signatures(rows["sig"])
+        self.labels, self.side = rows["label"].to_numpy(), rows["side"].to_numpy()
+        self.tree, self.deep, self.wide = rows["tree"].to_numpy(), rows["deep"].to_numpy(bool), rows["wide"].to_numpy(np.int64)
+
+    def flagged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The row numbers that occur in a likely pair of (a, b), but for pairs that another tree's small node compares."""
+        fits = _likely((self.values[a], self.bytes[a]), (self.values[b], self.bytes[b]), self.threshold)
+        a, b = a[fits], b[fits]
+        if len(a):
+            met = (self.values[a] == self.values[b]).astype(np.float32) @ _chosen(self.threshold).T.astype(np.float32) > 0
+            trees = np.arange(TREES)
+            met &= (self.wide[a][:, None] >> trees) & 1 == 0
+            met &= self.deep[a][:, None] | (trees < self.tree[a][:, None])
+            new = ~met.any(axis=1)
+            a, b = a[new], b[new]
+        return np.unique(np.concatenate((a, b)))
+
+    def told(self, at: np.ndarray) -> pd.DataFrame:
+        return self.rows.iloc[at][["unit", "c", "label", "side"]]
+
+
+def _partners(batches: Iterator[pd.DataFrame], threshold: float, small: int) -> Iterator[pd.DataFrame]:
+    """The rows with likely partners, unit by unit in a partition sorted by unit; small nodes together with those of their size."""
+    held: list[pd.DataFrame] = []
+    count = 0
+    for rows in runs(batches, "unit"):
+        if len(rows) > small or rows["side"].iloc[0] != 2:
+            yield from _block(rows, threshold)
             continue
-        kept = [whole.iloc[cut[-1] :]]
-        yield from _cut(whole.iloc[: cut[-1]], cut[:-1], least)
-    if kept:
-        yield from _cut(kept[0], np.zeros(0, int), least)
-
-
-def _agreeing(sigs: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the row pairs (a, b) those whose signatures agree in at least ``least`` places; most fail in the first half already."""
-    head = np.ascontiguousarray(sigs[:, : PLACES // 2])
-    some = np.count_nonzero(head[a] == head[b], axis=1) >= least - PLACES // 2
-    a, b = a[some], b[some]
-    some = np.count_nonzero(sigs[a] == sigs[b], axis=1) >= least
-    return a[some], b[some]
-
-
-def _cut(rows: pd.DataFrame, cut: np.ndarray, least: int) -> Iterator[pd.DataFrame]:
-    """Compare within the nodes that begin at 0 and ``cut``: small nodes together with those of their size, blocks one by one."""
-    start, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(rows)]))
-    sigs, ids, labels = _signatures(rows["sig"]), rows["id"].to_numpy(), rows["label"].to_numpy()
-    small = (end - start <= SMALL) & (rows["side"].to_numpy()[start] == 2)
-    for size in np.unique((end - start)[small]):
-        i, j = np.triu_indices(size, 1)
-        own = start[small & (end - start == size)]
-        step = max(1, 65536 // max(1, len(i)))
-        for at in range(0, len(own), step):
-            a, b = (own[at : at + step, None] + i).ravel(), (own[at : at + step, None] + j).ravel()
-            apart = labels[a] != labels[b]
-            a, b = _agreeing(sigs, a[apart], b[apart], least)
-            if len(a):
-                yield pd.DataFrame({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
-    for s, e in zip(start[~small], end[~small], strict=True):
-        yield from _compared(rows.iloc[s:e], least)
-
-
-def _confirm(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+        held.append(rows)
+        count += len(rows)
+        if count >= 4096:
+            yield from _together(pd.concat(held, ignore_index=True), threshold)
+            held, count = [], 0
+    if held:
+        yield from _together(pd.concat(held, ignore_index=True), threshold)
+
+
+def _block(rows: pd.DataFrame, threshold: float) -> Iterator[pd.DataFrame]:
+    unit, found = _Unit(rows, threshold), []
+    left, right = np.flatnonzero(unit.side != 1), np.flatnonzero(unit.side != 0)
+    for i in left:
+        other = right[(unit.labels[right] != unit.labels[i]) & ((unit.side[right] != unit.side[i]) | (right > i))]
+        if len(other):
+            found.append(unit.flagged(np.full(len(other), i), other))
+    if found and len(at := np.unique(np.concatenate(found))):
+        yield unit.told(at)
+
+
+def _together(rows: pd.DataFrame, threshold: float) -> Iterator[pd.DataFrame]:
+    unit, own = _Unit(rows, threshold), rows["unit"].to_numpy()
+    start = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1))
+    size = np.diff(np.concatenate((start, [len(rows)])))
+    found = []
+    for n in np.unique(size):
+        i, j = np.triu_indices(n, 1)
+        first = start[size == n]
+        step = max(1, 16384 // max(1, len(i)))
+        for at in range(0, len(first), step):
+            a, b = (first[at : at + step, None] + i).ravel(), (first[at : at + step, None] + j).ravel()
+            apart = unit.labels[a] != unit.labels[b]
+            found.append(unit.flagged(a[apart], b[apart]))
+    if found and len(at := np.unique(np.concatenate(found))):
+        yield unit.told(at)
+
+
+def _linked(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """The links (a, b) that connect each unit's components, confirmed on whole sets. Rows: unit, c, label, side, shingles, sorted by unit."""
     percent = round(100 * threshold)
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if min(len(p), len(q)) < threshold * max(len(p), len(q)) - 1e-9:
-                keep.append(False)
+    for rows in runs(batches, "unit"):
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        ids, side = rows["c"].to_numpy(), rows["side"].to_numpy()
+        sizes = np.array([len(x) for x in sets])
+        _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        owner, ends = np.repeat(np.arange(len(sets)), sizes), np.cumsum(sizes)
+        _, root = np.unique(rows["label"].to_numpy(), return_inverse=True)
+        mark, out = np.zeros(int(codes.max()) + 1, bool), []
+        for i in np.flatnonzero(side != 1):
+            able = (root != root[i]) & (side != 0 if side[i] == 0 else side == 2) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+            if not able.any():
                 continue
-            at = np.searchsorted(q, p)
-            both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-            keep.append(100 * both >= percent * (len(p) + len(q) - both))
-        yield batch.loc[np.array(keep, bool), ["a", "b"]]
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: the id, n_shingles, component_id (smallest id reachable by links) and kept (id = component_id)."""
-    least = int(np.floor(PLACES * threshold - SLACK * np.sqrt(PLACES * threshold * (1 - threshold))))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = stash(texts.mapInPandas(lambda it: _documents(it, width), "id long, n long, key binary, sig binary"), "shingled")
-    classes = stash(base.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig")).where("id is not null"), "classes")
-    nodes = classes.select("id", "sig").mapInPandas(lambda it: _first(it, threshold), "tree int, node long, id long")
-    nodes = stash(nodes, "nodes")
-    sig = classes.select("id", "sig")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        named = stash(ids.join(classes.select("id", "key"), "id"), "named")
-        picked = sized_join(texts, named.select("id").distinct(), ["id"], "left_semi", named.count())
-        sets = stash(picked.mapInPandas(lambda it: _sets(it, width), "id long, key binary, shingles binary").join(named, ["id", "key"]).select("id", "shingles").dropDuplicates(["id"]), "sets")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        return stash(both.mapInPandas(lambda it: _confirm(it, threshold), "a long, b long"), "links")
+            mark[codes[ends[i] - sizes[i] : ends[i]]] = True
+            both = np.bincount(owner[mark[codes]], minlength=len(sets))
+            mark[:] = False
+            for j in np.flatnonzero(able & (100 * both >= percent * (sizes + sizes[i] - both))):
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    out.append((ids[i], ids[j]))
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+
+def _blocks(large: DataFrame, block: int) -> DataFrame:
+    """Large nodes (node, c, label, ...) as block pairs: unit and side.
+
+    Rows of a node's most frequent component only meet the node's other rows, which also meet each other; so the
+    work grows with the rows of the other components.
+    """
+    per = large.groupBy("node", "label").agg(F.count("*").alias("n"))
+    lead = per.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("lead"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    rows = large.join(stash(lead, "lead"), "node").withColumn("own", F.col("label") == F.col("lead"))
+    parts = lambda n: F.ceil(n / block).cast("int")
+    rest = parts(F.col("all") - F.col("most"))
+    at = F.pmod(F.xxhash64("c"), F.when(F.col("own"), parts(F.col("most"))).otherwise(rest)).cast("int")
+    rows = rows.withColumn("at", at)
+    met = F.concat(
+        F.transform(F.sequence(F.lit(0), rest - 1), lambda k: F.struct(F.when(F.col("own"), -1).otherwise(F.greatest(k, "at")).alias("x"), F.when(F.col("own"), k).otherwise(F.least(k, "at")).alias("y"),
+            F.when(F.col("own"), 1).when(k == F.col("at"), 2).when(F.col("at") < k, 0).otherwise(1).alias("side"))),
+        F.when(F.col("own"), F.array().cast("array<struct<x:int,y:int,side:int>>")).otherwise(F.transform(F.sequence(F.lit(0), parts(F.col("most")) - 1), lambda k: F.struct((-1 - k).alias("x"), F.col("at").alias("y"), F.lit(0).alias("side")))),
+    )
+    # a lead row names its own block in the pair's first place
+    cells = rows.withColumn("m", F.explode(met)).withColumn("x", F.when(F.col("own"), -1 - F.col("at")).otherwise(F.col("m.x")))
+    return cells.select(F.xxhash64("node", "x", "m.y").alias("unit"), "c", "label", "sig", F.col("m.side").alias("side"), "tree", "wide")
+
+
+def _labelled(docs: DataFrame, width: int, threshold: float, id_col: str, text_col: str, small: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, hash, n, key) and the component of each key (key, component: a number)."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
+    base = stash(texts.mapInPandas(lambda it: _documents(it, width), "id long, hash long, n long, key binary, sig binary"), "shingled")
+    classes = base.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "hash")).alias("at"), F.first("sig").alias("sig"))
+    classes = stash(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    sig = classes.select("c", "sig")
+    nodes = stash(sig.mapInPandas(lambda it: _first(it, threshold), "tree int, node long, c long"), "nodes")
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def linked(units: DataFrame) -> DataFrame:
+        """The links of units (unit, c, label, side), by their classes' whole sets."""
+        needed = stash(units.select("c").distinct().join(classes.select("c", "key", "at.id", "at.hash"), "c"), "needed")
+        n = needed.count()
+        # null ids are matched by a number besides
+        known = lambda df: df.withColumns({"__none": F.col("id").isNull(), "__id": F.coalesce("id", F.lit(0))})
+        picked = sized_join(known(texts), known(needed).select("__none", "__id", "hash").distinct(), ["__none", "__id", "hash"], "left_semi", n)
+        sets = stash(picked.select("text").mapInPandas(lambda it: _sets(it, width), "key binary, shingles binary"), "sets")
+        if sets.count() > n:  # rows that repeat both id and text
+            sets = stash(sets.dropDuplicates(["key"]), "sets")
+        sets = sets.join(needed.select("key", "c"), "key").select("c", "shingles")
+        full = units.join(sets, "c").repartition(spread, "unit").sortWithinPartitions("unit", "c")
+        found = stash(full.mapInPandas(lambda it: _linked(it, threshold), "a long, b long"), "confirmed")
+        unstash(needed)
+        return found
 
     # pivots: in each node of the first trees, all classes against one
     first = nodes.where(F.col("tree") < STARS)
-    pivot = first.groupBy("node").agg(F.count("*").alias("size"), F.min_by("id", F.xxhash64("node", "id")).alias("a")).where("size > 1").select("node", "a")
-    star = first.join(pivot, "node").where("a <> id").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    star = star.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    star = stash(star.mapInPandas(lambda it: _near(it, least), "a long, b long"), "pairs")
-    links = confirmed(star)
-    label = components(links).select("id", F.col("component").alias("label"))
+    rank = F.xxhash64(F.floor(F.col("tree") / 2), "c")
+    pivot = stash(first.groupBy("node").agg(F.count("*").alias("size"), F.min_by("c", rank).alias("a")).where("size > 1").select("node", "a"), "pivots")
+    pairs = first.join(pivot, "node").where("a <> c").select("a", F.col("c").alias("b")).distinct()
+    pairs = pairs.join(sig.select(F.col("c").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("c").alias("b"), F.col("sig").alias("sig_b")), "b")
+    star = stash(pairs.mapInPandas(lambda it: _near(it, threshold), "a long, b long"), "stars")
+    # a pivot meets its classes in parts
+    part = F.pmod(F.xxhash64("b"), F.greatest(F.ceil(F.col("n") / block), F.lit(1)))
+    parted = star.join(stash(star.groupBy("a").agg(F.count("*").alias("n")), "sizes"), "a").select("a", "b", F.xxhash64("a", part).alias("unit"))
+    units = parted.select("unit", F.col("b").alias("c"), F.col("b").alias("label"), F.lit(1).alias("side")).union(parted.select("unit", F.col("a").alias("c"), F.col("a").alias("label"), F.lit(0).alias("side")).distinct())
+    links = linked(stash(units, "units"))
+    label = stash(components(links).select(F.col("id").alias("c"), F.col("component").alias("label")), "labels")
 
     # what pivots left apart: all nodes that still hold two components
-    levels = []
+    levels, done = [], []
     for depth in range(DEPTH + 1):
-        labelled = nodes.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        size = labelled.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node", "size")
-        mixed_nodes = stash(labelled.join(size, "node").join(sig, "id"), "mixed")
-        levels.append(mixed_nodes.where(F.col("size") <= SMALL).select(F.xxhash64(F.lit(depth), "node").alias("node"), "id", "label", "sig", F.lit(2).alias("side")))
-        large = mixed_nodes.where(F.col("size") > SMALL)
+        named = nodes.join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
+        size = stash(named.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node", "size"), "sizes")
+        if not depth:  # the trees in which a class is in a node too large to be compared at the first level
+            wide = stash(nodes.join(size.where(F.col("size") > small), "node").groupBy("c").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("wide")), "wide")
+            known = sig.join(wide, "c", "left").select("c", "sig", F.coalesce("wide", F.lit(0)).alias("wide"))
+        held = stash(named.join(size, "node").join(known, "c"), "mixed")
+        done += [size, held]
+        levels.append(held.where(F.col("size") <= small).select(F.xxhash64(F.lit(depth), "node").alias("unit"), "c", "label", "sig", F.lit(2).alias("side"), "tree", F.lit(depth > 0).alias("deep"), "wide"))
+        large = held.where(F.col("size") > small)
         if large.isEmpty():
             break
         if depth < DEPTH:
-            nodes = stash(large.select("tree", "node", "id", "sig").mapInPandas(lambda it: _next(it, threshold), "tree int, node long, id long"), "nodes")
-            continue
-        # exact way for the rest: blocks of a node against each other
-        blocks = large.withColumn("of", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
-        met = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
-        low, high = F.least("block", "other"), F.greatest("block", "other")
-        side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-        levels.append(met.select(F.xxhash64("node", low, high).alias("node"), "id", "label", "sig", side.alias("side")))
-    # a given number of partitions, as Spark merges them by bytes otherwise, and blocks of few bytes take much time
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    compared = reduce(DataFrame.union, levels).repartition(spread, "node").sortWithinPartitions("node")
-    pairs = compared.mapInPandas(lambda it: _nodes(it, least), "a long, b long")
-    more = confirmed(stash(pairs.distinct().join(star, ["a", "b"], "left_anti"), "pairs"))
-    whole = components(links.union(more))
-
-    component = classes.select("key", "id").join(whole, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
-    out = base.select("id", "n", "key").join(component, "key", "left")
-    return out.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(False)).alias("kept"),
-    )
+            nodes = stash(large.select("tree", "node", "c", "sig").mapInPandas(lambda it: _next(it, threshold), "tree int, node long, c long"), "nodes")
+            done.append(nodes)
+        else:  # exact way for the rest
+            levels.append(_blocks(large, block).withColumn("deep", F.lit(True)))
+    met = reduce(DataFrame.unionByName, levels).repartition(spread, "unit").sortWithinPartitions("unit", "c")
+    likely = stash(met.mapInPandas(lambda it: _partners(it, threshold, small), "unit long, c long, label long, side int"), "likely")
+    whole = components(links.union(linked(likely)))
+    out = classes.select("key", "c").join(whole.withColumnRenamed("id", "c"), "c", "left").select("key", F.coalesce("component", "c").alias("component"))
+    out = stash(out, "components")
+    unstash(*done)
+    return base, out
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """One row per document: the id, n_shingles, component_id (smallest id reachable by links) and kept (id = component_id).
+
+    small, block: the classes of a node compared at once, and those of a block.
+    """
+    base, known = _labelled(docs, width, threshold, id_col, text_col, small, block)
+    keyed = base.where("key is not null").groupBy("key").agg(F.min("id").alias("id"))
+    least = keyed.join(known, "key").groupBy("component").agg(F.min("id").alias("least"))
+    named = stash(known.join(least, "component").select("key", "least"), "names")
+    out = base.select("id", "n", "key").join(named, "key", "left")
+    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("least"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, width: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (rows without one last), then of the least hash of the text.
+
+    Rows that repeat both id and text count as one, of which the first by all other columns stays; empty texts all stay.
+    """
+    base, known = _labelled(docs, width, threshold, id_col, text_col, SMALL, BLOCK)
+    rows = base.where("key is not null").select("key", F.col("id").isNull().alias("__none"), F.coalesce("id", F.lit(0)).alias("__id"), F.col("hash").alias("__hash"))
+    rows = rows.groupBy("key", "__none", "__id", "__hash").agg(F.count("*").alias("n")).join(known, "key")
+    place = ["__none", "__id", "__hash"]
+    stays = stash(rows.groupBy("component").agg(F.min(F.struct(*place)).alias("w")), "stays")
+    kinds = stash(rows.join(stays, "component").withColumn("gone", F.struct(*place) != F.col("w")).where("gone or n > 1").select(*place, "gone"), "gone")
+    n = kinds.count()
+    named = docs.withColumns({"__none": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__hash": F.xxhash64(F.col(text_col))})
+    marked = sized_join(named, kinds, place, "left", n).where("not coalesce(gone, false)")
+    once = marked.where("gone is null").select(*docs.columns)
+    if kinds.where("not gone").isEmpty():
+        return once
+    fixed = [F.to_json(F.struct(*docs.columns))]
+    again = marked.where("not gone").withColumn("__n", F.row_number().over(Window.partitionBy(*place).orderBy(*fixed))).where("__n = 1")
+    return once.unionByName(again.select(*docs.columns))
