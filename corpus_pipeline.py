@@ -24,16 +24,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8); of rows equal in id and text one. Rows without an id stay."""
-    found = minhash.near_duplicates(docs, width=5, threshold=0.8)
-    gone = stash(found.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone")
-    left = sized_join(docs, gone, ["doc_id"], "left_anti", gone.count())
-    again = stash(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"), "again")
-    n = again.count()
-    if not n:
-        return left.select(*docs.columns)
-    once = sized_join(left, again, ["doc_id"], "left_anti", n)
-    return once.unionByName(sized_join(left, again, ["doc_id"], "left_semi", n).dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    """One document of each group of near-duplicates (five words, 0.8): the smallest id's; of rows equal in id and text one."""
+    return minhash.deduplicate(docs, width=5, threshold=0.8)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
