@@ -71,8 +71,7 @@ def _documents(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataF
 
 def _sets(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [shingle_set(text, width) for text in batch["text"]]
-        yield pd.DataFrame({"key": [digest(x) for x in found], "shingles": [x.tobytes() for x in found]})
+        yield pd.DataFrame({"c": batch["c"], "shingles": [shingle_set(text, width).tobytes() for text in batch["text"]]})
 
 
 def _signatures(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -267,29 +266,31 @@ def _labelled(docs: DataFrame, width: int, threshold: float, id_col: str, text_c
     classes = base.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "hash")).alias("at"), F.first("sig").alias("sig"))
     classes = stash(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     sig = classes.select("c", "sig")
-    nodes = stash(sig.mapInPandas(lambda it: _first(it, threshold), "tree int, node long, c long"), "nodes")
+    every = stash(sig.mapInPandas(lambda it: _first(it, threshold), "tree int, node long, c long"), "nodes")
+    shared = stash(every.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "shared")
+    nodes = stash(sized_join(every, shared, ["node"], "left_semi", shared.count()), "nodes")
+    unstash(every, shared)
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def linked(units: DataFrame) -> DataFrame:
         """The links of units (unit, c, label, side), by their classes' whole sets."""
-        needed = stash(units.select("c").distinct().join(classes.select("c", "key", "at.id", "at.hash"), "c"), "needed")
-        n = needed.count()
         # null ids are matched by a number besides
         known = lambda df: df.withColumns({"__none": F.col("id").isNull(), "__id": F.coalesce("id", F.lit(0))})
-        picked = sized_join(known(texts), known(needed).select("__none", "__id", "hash").distinct(), ["__none", "__id", "hash"], "left_semi", n)
-        sets = stash(picked.select("text").mapInPandas(lambda it: _sets(it, width), "key binary, shingles binary"), "sets")
+        place = ["__none", "__id", "hash"]
+        needed = stash(known(units.select("c").distinct().join(classes.select("c", "at.id", "at.hash"), "c")).select(*place, "c"), "needed")
+        n = needed.count()
+        sets = stash(sized_join(known(texts), needed, place, "inner", n).select("c", "text").mapInPandas(lambda it: _sets(it, width), "c long, shingles binary"), "sets")
         if sets.count() > n:  # rows that repeat both id and text
-            sets = stash(sets.dropDuplicates(["key"]), "sets")
-        sets = sets.join(needed.select("key", "c"), "key").select("c", "shingles")
+            sets = stash(sets.dropDuplicates(["c"]), "sets")
         full = units.join(sets, "c").repartition(spread, "unit").sortWithinPartitions("unit", "c")
         found = stash(full.mapInPandas(lambda it: _linked(it, threshold), "a long, b long"), "confirmed")
-        unstash(needed)
+        unstash(needed, sets)
         return found
 
     # pivots: in each node of the first trees, all classes against one
     first = nodes.where(F.col("tree") < STARS)
     rank = F.xxhash64(F.floor(F.col("tree") / 2), "c")
-    pivot = stash(first.groupBy("node").agg(F.count("*").alias("size"), F.min_by("c", rank).alias("a")).where("size > 1").select("node", "a"), "pivots")
+    pivot = stash(first.groupBy("node").agg(F.min_by("c", rank).alias("a")), "pivots")
     pairs = first.join(pivot, "node").where("a <> c").select("a", F.col("c").alias("b")).distinct()
     pairs = pairs.join(sig.select(F.col("c").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("c").alias("b"), F.col("sig").alias("sig_b")), "b")
     star = stash(pairs.mapInPandas(lambda it: _near(it, threshold), "a long, b long"), "stars")
@@ -307,8 +308,10 @@ def _labelled(docs: DataFrame, width: int, threshold: float, id_col: str, text_c
         size = stash(named.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node", "size"), "sizes")
         if not depth:  # the trees in which a class is in a node too large to be compared at the first level
             wide = stash(nodes.join(size.where(F.col("size") > small), "node").groupBy("c").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("wide")), "wide")
-            known = sig.join(wide, "c", "left").select("c", "sig", F.coalesce("wide", F.lit(0)).alias("wide"))
-        held = stash(named.join(size, "node").join(known, "c"), "mixed")
+            deeper = stash(sig.join(wide.select("c"), "c", "left_semi"), "deeper")
+            done += [wide, deeper]
+        named = named.join(size, "node").join(wide, "c", "left").withColumn("wide", F.coalesce("wide", F.lit(0)))
+        held = stash(named.join(deeper if depth else sig, "c"), "mixed")
         done += [size, held]
         levels.append(held.where(F.col("size") <= small).select(F.xxhash64(F.lit(depth), "node").alias("unit"), "c", "label", "sig", F.lit(2).alias("side"), "tree", F.lit(depth > 0).alias("deep"), "wide"))
         large = held.where(F.col("size") > small)
