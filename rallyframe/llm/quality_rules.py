@@ -54,19 +54,22 @@ def _seen_twice(windows: Column) -> Column:
     """Ascending places of the windows that occur twice or more; null if none does.
 
     A window's hash and its place share one long (44 + 20 bits), so sorting brings equal windows together as plain longs;
-    equal neighbours are then compared by their full hashes. Texts of over a million words sort pairs of longs instead.
+    equal neighbours are then compared by their full hashes. Where neighbours share the 44 bits but not the hash, and in
+    texts of over a million words, pairs of hash and place are sorted instead: the result is the same.
     """
     low = F.lit((1 << PLACE_BITS) - 1).cast("long")
     packed = F.sort_array(F.transform(windows, lambda h, i: h.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long"))))
     place = lambda e: e.bitwiseAND(low).cast("int")
     same = lambda a, b: F.get(windows, place(a)) == F.get(windows, place(b))
     n = F.size(windows)
-    # for neighbours in order: the pair's two places if their windows are equal
-    twos = F.filter(F.zip_with(F.slice(packed, 1, n - 1), F.slice(packed, 2, n - 1), lambda a, b: F.when((F.shiftrightunsigned(a.bitwiseXOR(b), PLACE_BITS) == 0) & same(a, b), F.array(place(a), place(b)))), F.isnotnull)
+    # for neighbours in order: the pair's two places if their windows share the 44 bits, and whether they are equal
+    met = lambda a, b: F.when(F.shiftrightunsigned(a.bitwiseXOR(b), PLACE_BITS) == 0, F.struct(F.array(place(a), place(b)).alias("at"), same(a, b).alias("same")))
+    twos = F.filter(F.zip_with(F.slice(packed, 1, n - 1), F.slice(packed, 2, n - 1), met), F.isnotnull)
     wide = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     slow = F.filter(F.zip_with(F.slice(wide, 1, n - 1), F.slice(wide, 2, n - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"]))), F.isnotnull)
+    quick = lambda ts: F.when(F.forall(ts, lambda t: t["same"]), F.transform(ts, lambda t: t["at"])).otherwise(slow)
     repeats = F.size(F.array_distinct(windows)) < n
-    return F.when(repeats, F.sort_array(F.array_distinct(F.flatten(F.when(n <= 1 << PLACE_BITS, twos).otherwise(slow)))))
+    return F.when(repeats, F.sort_array(F.array_distinct(F.flatten(F.when(n <= 1 << PLACE_BITS, let(twos, quick)).otherwise(slow)))))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
