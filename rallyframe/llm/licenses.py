@@ -3,12 +3,12 @@
 Texts and templates are lower-cased words of a-z and 0-9 and their shingles of ``WIDTH`` words. A template of at most
 ``c`` words (``c`` a power of two) is looked for in windows of ``2 c`` words that start every ``c`` words, so each
 occurrence lies whole in a window. A window that shares no shingle with any template cannot share a MinHash value with one
-and is left out beforehand. ``BANDS`` bands of one value each find a window whose shingle set has a similarity of 0.3
-with the template's with probability over 0.99999; a match is a window that holds at least ``CONTAINMENT`` of the
-template's shingles.
+and is left out beforehand. ``BANDS`` bands of one value each find a window whose shingle set has a similarity of 0.2
+with the template's (the least of a whole template in a full window) with probability over 0.999999; a match is a window
+that holds at least ``CONTAINMENT`` of the template's shingles.
 
 Defined cases: null and empty texts match nothing; texts are scanned whole; a license found in several windows of a text
-is one row with its first window and best containment; rows that repeat an id are merged into one finding per license; an
+is one row with its first window and best containment; rows that repeat an id, or have none, each give their findings; an
 empty table gives an empty table; input columns other than id and text are not read.
 """
 
@@ -20,13 +20,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, BANDS, CONTAINMENT, LEAST_CLASS = 3, 32, 0.8, 8
+from rallyframe.plans.scratch import sized_join
+
+WIDTH, BANDS, CONTAINMENT, LEAST_CLASS = 3, 64, 0.8, 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: License notices by identifier.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-notice": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "BSD-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-2-Clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution.""",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
@@ -34,9 +40,23 @@ TEMPLATES = {
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "ISC-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+        the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+        WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE
+        LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
     "LGPL-notice": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     "MIT": "Released under the MIT License",
     "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+    "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
+        "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+        distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+        following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+        CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "Unlicense": "This is free and unencumbered software released into the public domain",
     "warranty-as-is": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED",
@@ -84,7 +104,7 @@ def _signature(shingles: Column) -> Column:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and license found in it: the id, license, start (first word of the first matching window) and containment.
 
-    templates: notices of at least WIDTH words by license; a list of bounded size (it is broadcast).
+    templates: notices of at least WIDTH words by license.
     """
     spark = docs.sparkSession
     named = [(name, class_of(len(own)), own) for name, text in sorted((TEMPLATES if templates is None else templates).items()) if len(own := template_words(text)) >= WIDTH]
@@ -106,9 +126,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
 
     # an outer generator and a filter after it: a filter on the arrays before it would make Spark build them again for each use
     cut = _bound(_shingles(_words(F.col(text_col))), windows)
-    windowed = docs.select(F.col(id_col).alias("id"), F.inline_outer(cut)).where("class is not null")
-    banded = windowed.select("id", "class", "start", "found", F.inline(_signature(F.col("found"))))
-    retrieved = banded.join(F.broadcast(bands), ["class", "band", "value"])
+    windowed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.inline_outer(cut)).where("class is not null")
+    banded = windowed.select("row", "id", "class", "start", "found", F.inline(_signature(F.col("found"))))
+    retrieved = sized_join(banded, bands, ["class", "band", "value"], "inner", len(named) * BANDS)
     contained = F.size(F.array_intersect("own", "found")) / F.size("own")
     sure = retrieved.withColumn("containment", contained).where(F.col("containment") >= CONTAINMENT)
-    return sure.groupBy("id", "license").agg(F.min("start").cast("long").alias("start"), F.max("containment").alias("containment")).withColumnRenamed("id", id_col)
+    best = sure.groupBy("row", "license").agg(F.first("id").alias("id"), F.min("start").cast("long").alias("start"), F.max("containment").alias("containment"))
+    return best.select(F.col("id").alias(id_col), "license", "start", "containment")

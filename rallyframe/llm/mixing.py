@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling.
 
 Each document of a source is expected ``target / size`` times. The documents of a source stand in one fixed
-order (slot of the id, size, id); the prefix sums of their expected copies, shifted by one random offset per
+order (slot, size, id, hash of the row); the prefix sums of their expected copies, shifted by one random offset per
 source, cross an integer boundary once for every copy that is emitted. As the order runs through the sizes of
 each slot, the words taken come out near the target.
 
@@ -10,7 +10,7 @@ a slot the rest, so no source, however large, meets in one task.
 
 Defined cases: a null source is a source of its own, last in order; null and blank texts have size 0 and are
 copied as often as others of their source; an empty table gives an empty table; rows that repeat an id are
-separate documents; a null id counts as 0 for the order; input columns named like a result column are replaced.
+separate documents; rows without an id come first in the order of their slot; input columns named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +30,12 @@ def offset_of(seed: int, source: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def slot_of(id_: Column, size: Column) -> Column:
+    """A row's slot: six hex digits of a digest of its id and size, modulo ``SLOTS``."""
+    digest = F.md5(F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("")), size.cast("string")))
+    return F.pmod(F.conv(F.substring(digest, 1, 6), 16, 10).cast("long"), F.lit(SLOTS))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Per source (columns __nul, __src, source_size): its target.
 
@@ -67,14 +73,16 @@ def mix(
         docs.withColumn("__size", (count_words(F.col("text")) if size is None else size).cast("long"))
         .withColumn("__nul", F.col(source_col).isNull())
         .withColumn("__src", F.coalesce(F.col(source_col), F.lit("")))
-        .withColumn("__slot", F.pmod(F.coalesce(F.col(id_col), F.lit(0)).cast("long"), F.lit(SLOTS)))
+        .withColumn("__slot", slot_of(F.col(id_col), F.col("__size")))
         .drop(*own)
     )
     slots = rows.groupBy("__nul", "__src", "__slot").agg(F.count("*").alias("__n"), F.sum("__size").alias("__words"))
     goal = targets(slots.groupBy("__nul", "__src").agg(F.sum("__words").alias("source_size")), weights, share, cap)
     earlier = Window.partitionBy("__nul", "__src").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n", "__words").join(goal, ["__nul", "__src"])
-    within = Window.partitionBy("__nul", "__src", "__slot").orderBy("__size", id_col)
+    # rows alike in size and id stand in the order of a hash of all that can be hashed
+    tie = F.xxhash64(*[c for c, kind in docs.dtypes if c not in own and "map<" not in kind and "variant" not in kind])
+    within = Window.partitionBy("__nul", "__src", "__slot").orderBy("__size", id_col, tie)
     at = F.col("__before") + F.col("__at")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor(F.col("__rate") * at + F.col("__u")) - F.floor(F.col("__rate") * (at - 1) + F.col("__u"))

@@ -48,7 +48,8 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
-    return secrets.scan(table(spark, folder, "documents"), secrets.train(secrets.labelled_findings(spark)))
+    docs = table(spark, folder, "documents")
+    return secrets.scan(docs, secrets.forest_of(docs))
 
 
 def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,7 +97,7 @@ v AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum
 f AS (SELECT arg_min(lev, k) AS lev FROM v WHERE lev * w <= cap),
 t AS (SELECT nul, src, source_size, coalesce(least(cap, f.lev * w), cap) AS target,
   ('0x' || substr(md5('11:' || CASE WHEN nul THEN 'true' ELSE 'false' END || src), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM v CROSS JOIN f),
-n AS (SELECT *, row_number() OVER (PARTITION BY nul, src ORDER BY doc_id % {mixing.SLOTS}, size, doc_id) AS i FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY nul, src ORDER BY ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || size::VARCHAR), 1, 6))::BIGINT % {mixing.SLOTS}, size, doc_id) AS i FROM d),
 x AS (SELECT doc_id, size, source_size, target, u, i, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM n JOIN t USING (nul, src))
 SELECT doc_id, size, source_size, target, (size * (floor(rate * i + u) - floor(rate * (i - 1) + u)))::BIGINT AS taken FROM x"""
 

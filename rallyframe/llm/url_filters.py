@@ -23,7 +23,7 @@ from rallyframe.plans.scratch import stash, unstash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"(?i)\b(?:href|src)\s*=\s*[\"']?(?:https?:)?//([^\"'\s/?#>]+)"
-ROUNDS, DAMPING, THRESHOLD = 12, 0.85, 0.5
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-4, 0.5
 #: Rounds after which the ranks are written and their lineage cut.
 CUT = 4
 
@@ -68,24 +68,29 @@ def _shared(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.join(total, a).select(F.col(a).alias("src"), F.col(b).alias("dst"), (F.col("links") / F.col("all")).alias("share"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, rank): a personalised PageRank. edges: (src, dst, share); seeds: (host, start) that sum to 1."""
-    rank = seeds.select("host", F.col("start").alias("rank"))
-    old = None
-    for k in range(rounds):
-        sent = rank.join(edges, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank"))
-        lost = rank.join(edges.select(F.col("src").alias("host")).distinct(), "host", "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("x")).scalar()
-        home = seeds.select("host", ((1 - DAMPING + DAMPING * lost) * F.col("start")).alias("rank"))
-        rank = sent.union(home).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % CUT == CUT - 1 or k == rounds - 1:
-            rank = stash(rank, "ranks")
-            if old is not None:
-                unstash(old)
-            old = rank
-    return rank
-
-
-def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, rounds: int = ROUNDS) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, rank): a personalised PageRank. edges: (src, dst, share); seeds: (host, start) that sum to 1.
+
+    What dangling hosts would give back to the seeds only scales the ranks, so it is left out of the rounds and the sum is
+    made 1 in the end. The sum of the ranks grows from round to round; rounds end when ``CUT`` of them add less than
+    ``tolerance``.
+    """
+    home = seeds.select("host", ((1 - DAMPING) * F.col("start")).alias("rank"))
+    rank, mass, old = home, 0.0, None
+    while True:
+        for _ in range(CUT):
+            sent = rank.join(edges, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank"))
+            rank = sent.union(home).groupBy("host").agg(F.sum("rank").alias("rank"))
+        rank = stash(rank, "ranks")
+        before, mass = mass, rank.agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        if old is not None:
+            unstash(old)
+        old = rank
+        if mass - before < tolerance:
+            return rank.select("host", (F.col("rank") / mass).alias("rank")) if mass else rank
+
+
+def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """Per page: the id, host, path, rule (the longest that fits, else null), trust (the host's standing; null if nothing reaches it) and verdict."""
     named = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), F.col(html_col).alias("html"))
     rows = ruled(named.drop("html"), rules)
@@ -98,7 +103,8 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     if edges.isEmpty():
         trust, distrust = start_good.withColumnRenamed("start", "rank"), start_bad.withColumnRenamed("start", "rank")
     else:
-        trust, distrust = spread(_shared(edges, "src", "dst"), start_good, rounds), spread(_shared(edges, "dst", "src"), start_bad, rounds)
+        shared = lambda a, b: stash(_shared(edges, a, b), "shares")
+        trust, distrust = spread(shared("src", "dst"), stash(start_good, "seeds"), tolerance), spread(shared("dst", "src"), stash(start_bad, "seeds"), tolerance)
     standing = (
         trust.select("host", F.col("rank").alias("t")).join(distrust.select("host", F.col("rank").alias("d")), "host", "full")
         .select("host", (F.coalesce("t", F.lit(0.0)) / (F.coalesce("t", F.lit(0.0)) + F.coalesce("d", F.lit(0.0)))).alias("trust"))

@@ -6,8 +6,9 @@ the last one has the total length. Pages whose payload another page has already
 become ``revisit`` records that name the page with the smallest id. Records are written by Spark's text writer, whose line
 separator closes them; chunks are cut so that no block holds the delimiter that starts a record, however odd the page.
 
-Reading: Spark's text reader splits files (gzip or plain) at that delimiter; each record is parsed in its task. Whole
-records need no shuffle; continuation records are grouped by origin identifier, ordered by segment number, checked against
+Reading: Spark's text reader splits files at that delimiter; each record is parsed in its task, and where a block of
+another writer holds the delimiter, it is joined again by its Content-Length (in gzip files always; a plain file that Spark
+cuts into several splits must not be cut within such a block). Whole records need no shuffle; continuation records are grouped by origin identifier, ordered by segment number, checked against
 the total length and joined, a group being one page; then the chunked framing is decoded and the payload's digest checked.
 
 Defined cases: null html is an empty payload; empty and very long pages round-trip; rows that repeat both id and payload
@@ -27,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rallyframe.plans.scratch import sized_join, stash
+
 SEGMENT, CHUNK, LEAST = 65_536, 8_192, 100
 #: Records a file holds at most.
 FILE_RECORDS = 20_000
@@ -110,30 +113,67 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     long_enough = F.octet_length("payload") >= LEAST
     # the smallest page of each payload that several pages have: counted per digest before anything moves
     first = rows.where(long_enough).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    rows = rows.join(first, "digest", "left").withColumn("row", F.monotonically_increasing_id())
+    first = stash(first, "digests")
+    rows = sized_join(rows, first, ["digest"], "left", first.count()).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("refers_to", F.when(long_enough & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
     records = rows.mapInPandas(_records, "value binary").select(F.col("value").cast("string").alias("value"))
     # a text row's separator is the line break that ends a record
     records.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n"))}
+
+
+def _number(fields: dict[str, str], name: str) -> int | None:
+    return int(fields[name]) if re.fullmatch(r"-?\d+", fields.get(name, "")) else None
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[list[bytes]]:
+    """Records as long as their Content-Length says: a block that holds the delimiter itself is joined again.
+
+    Rows come in the order of their file; a file begins with the delimiter, so with an empty row.
+    """
+    held, missing = b"", 0
+    for batch in batches:
+        out = []
+        for raw in map(bytes, batch["value"]):
+            if held:
+                if raw and len(raw) + len(START) <= missing + 4:  # the line breaks after a block may be missing
+                    held += START + raw
+                    missing -= len(START) + len(raw)
+                    if missing <= 0:
+                        out.append(held)
+                        held = b""
+                    continue
+                out.append(held)  # cut short
+                held = b""
+            head, gap, rest = raw.partition(b"\r\n\r\n")
+            length = _number(_fields(head), "content-length") if gap else None
+            if length is not None and length > len(rest):
+                held, missing = raw, length - len(rest)
+            elif raw:
+                out.append(raw)
+        yield out
+    if held:
+        yield [held]
+
+
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Header fields and block of each record. Rows: the bytes between two record starts."""
-    for batch in batches:
+    for records in _whole(batches):
         rows = []
-        for raw in batch["value"]:
-            raw = bytes(raw)
+        for raw in records:
             head, gap, rest = raw.partition(b"\r\n\r\n")
-            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n"))}
+            fields = _fields(head)
             if not gap or "warc-type" not in fields:
                 continue
-            number = lambda k, f=fields: int(f[k]) if re.fullmatch(r"-?\d+", f.get(k, "")) else None
-            length = number("content-length")
+            length = _number(fields, "content-length")
             short = length is None or length > len(rest)
             rows.append((
-                fields["warc-type"].lower(), fields.get("warc-record-id"), fields.get("warc-segment-origin-id"), number("warc-segment-number"), number("warc-segment-total-length"),
-                number("warc-page-id"), fields.get("warc-target-uri"), number("warc-refers-to-page-id"), fields.get("warc-payload-digest", "").removeprefix("sha256:"),
-                number("warc-payload-length"), None if short else rest[:length],
+                fields["warc-type"].lower(), fields.get("warc-record-id"), fields.get("warc-segment-origin-id"), _number(fields, "warc-segment-number"), _number(fields, "warc-segment-total-length"),
+                _number(fields, "warc-page-id"), fields.get("warc-target-uri"), _number(fields, "warc-refers-to-page-id"), fields.get("warc-payload-digest", "").removeprefix("sha256:"),
+                _number(fields, "warc-payload-length"), None if short else rest[:length],
             ))
         frame = pd.DataFrame(rows, columns=["kind", "record", "origin", "segment", "total", "id", "url", "refers_to", "digest", "length", "block"])
         yield frame.astype(dict.fromkeys(("segment", "total", "id", "refers_to", "length"), "Int64"))
