@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +21,110 @@ def form(df: DataFrame, keys: list[str], day: str, value: Column, prior: float =
     return df.withColumn("n_before", n).withColumn("form", F.round((prior * weight + total) / (weight + n), 6))
 
 
-def decayed(df: DataFrame, keys: list[str], day: str, value: Column, half_life: float, horizon: int) -> DataFrame:
-    """Adds decayed: the mean of the last ``horizon`` days' values, each weighing 2^(-age / half_life). The factor of the row's own day cancels, so two running sums do."""
-    w = before_day(keys, day, horizon)
-    up = F.pow(F.lit(2.0), (F.unix_date(F.col(day)) - 19000) / half_life)
-    return df.withColumn("decayed", F.round(F.sum(value * up).over(w) / F.sum(F.when(value.isNotNull(), up)).over(w), 6))
+def recent(df: DataFrame, keys: list[str], day: str, id_col: str, columns: list[str], last: int = 80, horizon: int = 400) -> DataFrame:
+    """Adds recent: the key's last ``last`` rows of earlier days within ``horizon`` days, as structs (d, i, columns) in order.
+
+    The horizon bounds what a row can gather, whatever a key's history.
+    """
+    rows = F.collect_list(F.struct(F.unix_date(F.col(day)).alias("d"), F.col(id_col).alias("i"), *columns)).over(before_day(keys, day, horizon))
+    return df.withColumn("recent", F.slice(F.sort_array(rows), F.greatest(F.size(rows) - last, F.lit(0)) + 1, F.lit(last)))
+
+
+def decayed(history: Column, today: Column, value: str, half_life: float, prior: float | None = None, prior_weight: float = 0.0, only: Callable[[Column], Column] | None = None) -> Column:
+    """The mean of a ``recent`` history's values, each weighing 2^(-age / half_life), with a prior of so much weight; null if there is neither.
+
+    Ages count from the row's own day, so no date is too old or too late. only: which rows count.
+    """
+    rows = F.filter(history, lambda r: r[value].isNotNull() & (F.lit(True) if only is None else only(r)))
+    weight = lambda r: F.pow(F.lit(2.0), -(F.unix_date(today) - r["d"]) / half_life)
+    start = F.lit(0.0 if prior is None else prior * prior_weight), F.lit(0.0 if prior is None else float(prior_weight))
+    total = F.aggregate(rows, start[0], lambda a, r: a + weight(r) * r[value].cast("double"))
+    return F.try_divide(total, F.aggregate(rows, start[1], lambda a, r: a + weight(r)))
+
+
+def decayed_moments(history: Column, today: Column, value: str, half_life: float) -> Column:
+    """A struct (n, ess, mean, variance): decayed mean and population variance of a ``recent`` history, and its effective size."""
+    rows = F.filter(history, lambda r: r[value].isNotNull())
+    weighed = F.transform(rows, lambda r: F.struct(F.pow(F.lit(2.0), -(F.unix_date(today) - r["d"]) / half_life).alias("w"), r[value].cast("double").alias("x")))
+    total = lambda f: F.aggregate(weighed, F.lit(0.0), lambda a, r: a + f(r))
+    w, ww, wx = total(lambda r: r["w"]), total(lambda r: r["w"] * r["w"]), total(lambda r: r["w"] * r["x"])
+    mean = F.try_divide(wx, w)
+    return F.struct(F.size(rows).cast("long").alias("n"), F.try_divide(w * w, ww).alias("ess"), mean.alias("mean"), F.try_divide(total(lambda r: r["w"] * (r["x"] - mean) * (r["x"] - mean)), w).alias("variance"))
+
+
+def trailing_counts(df: DataFrame, keys: list[str], day: str, windows: list[int], value: Column) -> DataFrame:
+    """Adds n_<d> and sum_<d> for each window of so many days before the row's day; a sum is null without values."""
+    made = {}
+    for d in windows:
+        made |= {f"n_{d}": F.count("*").over(before_day(keys, day, d)), f"sum_{d}": F.round(F.sum(value).over(before_day(keys, day, d)), 6)}
+    return df.withColumns(made)
+
+
+def head_to_head(df: DataFrame, a: str, b: str, day: str, a_won: Column, prior: float = 2.0) -> DataFrame:
+    """Adds n_met and advantage: a's share of earlier meetings of the pair, whichever side it stood on, less half; Beta(prior, prior)."""
+    low, high = F.least(a, b), F.greatest(a, b)
+    pair = df.withColumns({"__lo": low, "__hi": high, "__low_won": F.when(F.col(a) <= F.col(b), a_won).otherwise(~a_won).cast("int")})
+    w = before_day(["__lo", "__hi"], day)
+    n, wins = F.count("__low_won").over(w), F.coalesce(F.sum("__low_won").over(w), F.lit(0))
+    share = (wins + prior) / (n + 2 * prior) - 0.5
+    return pair.withColumns({"n_met": n, "advantage": F.round(F.when(F.col(a) <= F.col(b), share).otherwise(0.0 - share), 6)}).drop("__lo", "__hi", "__low_won")
+
+
+def last_known(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Adds last_<column>: the last value that is not null in earlier rows. Columns that belong together are passed as one struct."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumns({f"last_{c}": F.last(c, ignorenulls=True).over(w) for c in columns})
+
+
+def running_baseline(df: DataFrame, keys: list[str], day: str, value: Column, weight: Column, least: float) -> DataFrame:
+    """Adds baseline: the weighted mean of earlier days, null below a total weight of ``least``. Days are summed first, so a key's window has one row a day."""
+    per = df.groupBy(*keys, day).agg(F.sum(value * weight).alias("__x"), F.sum(F.when(value.isNotNull(), weight)).alias("__w"))
+    w = before_day(keys, day)
+    per = per.select(*keys, day, F.round(F.when(F.sum("__w").over(w) >= least, F.sum("__x").over(w) / F.sum("__w").over(w)), 6).alias("baseline"))
+    return df.join(per, [*keys, day])
+
+
+def row_index(df: DataFrame, surface: str, venue: str, event: str, order: list[str], value: str, least: tuple[int, int, int] = (20, 5, 3)) -> DataFrame:
+    """Adds baseline (of the surface), venue_index and event_index: means of earlier rows, each null below its least number.
+
+    The venue's rows leave the running event out; indexes are differences to the surface's mean. Row by row, not by day.
+    """
+    frame = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    by_surface, by_venue, by_event = frame(surface), frame(surface, venue), frame(surface, venue, event)
+    total = lambda w: (F.count(value).over(w), F.coalesce(F.sum(value).over(w), F.lit(0.0)))
+    (ns, xs), (nv, xv), (ne, xe) = total(by_surface), total(by_venue), total(by_event)
+    base = F.when(ns >= least[0], xs / ns)
+    return df.withColumns({"baseline": F.round(base, 6), "venue_index": F.round(F.when(nv - ne >= least[1], (xv - xe) / (nv - ne)) - base, 6), "event_index": F.round(F.when(ne >= least[2], xe / ne) - base, 6)})
+
+
+def first_and_last_quote(quotes: DataFrame, keys: list[str], time: str, start: str, price: str, early: tuple[int, int] = (36, 2), late_minutes: int = 90) -> DataFrame:
+    """Per key the earliest price 2 to 36 hours before the start, the latest within 90 minutes of it, and the value of the early one in percent."""
+    ahead = F.unix_seconds(F.col(start).cast("timestamp")) - F.unix_seconds(F.col(time).cast("timestamp"))
+    first = F.min_by(F.when((ahead <= early[0] * 3600) & (ahead >= early[1] * 3600), F.col(price)), F.when((ahead <= early[0] * 3600) & (ahead >= early[1] * 3600), F.struct(time, price)))
+    last = F.max_by(F.when((ahead > 0) & (ahead <= late_minutes * 60), F.col(price)), F.when((ahead > 0) & (ahead <= late_minutes * 60), F.struct(time, price)))
+    out = quotes.groupBy(*keys).agg(first.alias("entry"), last.alias("close"))
+    return out.withColumn("clv", F.round(100 * (F.try_divide("entry", "close") - 1), 3))
+
+
+def day_boundary(df: DataFrame, day: str, share: float = 0.55) -> DataFrame:
+    """(day, before, rows): the start of a day at which the rows before it come nearest to ``share`` of all; the earlier of two."""
+    per = df.groupBy(day).agg(F.count("*").alias("n"))
+    counted = per.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(day).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("rows", F.sum("n").over(Window.partitionBy()))
+    return counted.where("before > 0").select(day, "before", "rows").orderBy(F.abs(F.col("before") - share * F.col("rows")), day).limit(1)
+
+
+def folds_by_year(df: DataFrame, year: str, least_train: int, least_test: int = 1) -> DataFrame:
+    """(fold, train, test): for each year the rows before it and in it, where both suffice. Years are counted first."""
+    per = df.groupBy(F.col(year).alias("fold")).agg(F.count("*").alias("test"))
+    before = F.coalesce(F.sum("test").over(Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return per.withColumn("train", before).where((F.col("train") >= least_train) & (F.col("test") >= least_test)).select("fold", "train", "test")
+
+
+def evidence(history: Column, today: Column, half_life: float) -> Column:
+    """A struct (n, ess, latest_age) of a ``recent`` history."""
+    weights = F.transform(history, lambda r: F.pow(F.lit(2.0), -(F.unix_date(today) - r["d"]) / half_life))
+    total = lambda f: F.aggregate(weights, F.lit(0.0), lambda a, w: a + f(w))
+    return F.struct(F.size(history).cast("long").alias("n"), F.try_divide(total(lambda w: w) * total(lambda w: w), total(lambda w: w * w)).alias("ess"), (F.unix_date(today) - F.array_max(F.transform(history, lambda r: r["d"]))).alias("latest_age"))
 
 
 def rest_days(df: DataFrame, keys: list[str], day: str, default: int = 14, most: int = 180) -> DataFrame:

@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyframe.functions import stats, text
 from rallyframe.operators import history, joins, metrics, rows, selection
 from rallyframe.plans.tables import table
+from rallyframe.registry import ORACLES, QUERIES
+from rallyframe.registry import query as _query
 from rallyframe.streaming import peaks
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "d10_betting_metrics"
-
-
-def _query(name: str, sql: str) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name], ORACLES[name] = f, sql
-        return f
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
 
-    return add
-
-
-_NOW = "TIMESTAMP '1996-01-01'"
+FLAGSHIP = "d10_betting_metrics"
 
 
 @_query("a1_scan_before", "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01' AND o_orderkey IS NOT NULL")
@@ -66,9 +54,9 @@ def b11(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(rows.all_reasons(_gate()), ",").alias("reasons"))
 
 
-@_query("c4_customers_without_orders", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@_query("c4_customers_without_late_orders", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '2000-01-01')")
 def c4(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "customer").join(table(spark, folder, "orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    return table(spark, folder, "customer").join(table(spark, folder, "orders").where("o_orderdate >= timestamp_ntz '2000-01-01'").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @_query(
@@ -219,15 +207,6 @@ def e7(spark: SparkSession, folder: str) -> DataFrame:
     return history.form(_daily(spark, folder), ["user_id"], "day", F.col("share")).select("user_id", F.col("day").cast("string").alias("day"), "n_before", "form")
 
 
-@_query(
-    "d17_decayed_mean",
-    f"""WITH d AS ({_DAILY_SQL}), u AS (SELECT *, pow(2.0, (day - DATE '2022-01-08') / 30.0) AS up FROM d)
-    SELECT user_id, day::VARCHAR AS day, round(sum(share * up) OVER w / sum(up) OVER w, 6) AS decayed FROM u WINDOW w AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 120 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)""",
-)
-def d17(spark: SparkSession, folder: str) -> DataFrame:
-    return history.decayed(_daily(spark, folder), ["user_id"], "day", F.col("share"), 30, 120).select("user_id", F.col("day").cast("string").alias("day"), "decayed")
-
-
 @_query(
     "e10_rest_days",
     f"""SELECT user_id, day::VARCHAR AS day, CASE WHEN lag(day) OVER w IS NULL THEN 14 ELSE least(day - lag(day) OVER w, 180) END::INT AS rest_days FROM ({_DAILY_SQL}) WINDOW w AS (PARTITION BY user_id ORDER BY day)""",
@@ -337,3 +316,7 @@ def d31(spark: SparkSession, folder: str) -> DataFrame:
 @_query("s2_running_peak", "SELECT user_id, max(value) AS peak, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS n FROM events GROUP BY 1")
 def s2(spark: SparkSession, folder: str) -> DataFrame:
     return peaks.peaks(table(spark, folder, "events"), ["user_id"], "ts", "value")
+
+
+# the other query modules register theirs on import
+from rallyframe import queries_history, queries_linkage, queries_reports, queries_rules, queries_selection  # noqa: E402, F401
