@@ -10,11 +10,11 @@ Z, EARTH_KM = 1.959963984540054, 6371.0088
 
 
 def wilson(wins: Column, n: Column) -> tuple[Column, Column]:
-    """Both ends of the Wilson interval; null if n is 0."""
+    """Both ends of the Wilson interval, within 0 and 1; null if n is 0."""
     n = F.nullif(n.cast("double"), F.lit(0.0))
     p = wins / n
     mid, half = p + Z * Z / (2 * n), Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))
-    return (mid - half) / (1 + Z * Z / n), (mid + half) / (1 + Z * Z / n)
+    return F.greatest((mid - half) / (1 + Z * Z / n), F.when(n.isNotNull(), F.lit(0.0))), F.least((mid + half) / (1 + Z * Z / n), F.when(n.isNotNull(), F.lit(1.0)))
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
