@@ -33,7 +33,7 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], left_time: str, ri
     probes = probes.withColumn("__step", F.explode(F.array(*[F.floor(F.col("__s") / tolerance_s) + k for k in (-1, 0, 1)])))
     facts = right.select(*by, seconds(F.col(right_time)).alias("__rs"), F.struct(F.col(right_time).alias("t"), F.col(tie).alias("tie"), *payload).alias("__p")).withColumn("__step", F.floor(F.col("__rs") / tolerance_s))
     met = probes.join(facts, [*by, "__step"], "left").withColumn("__d", F.abs(F.col("__s") - F.col("__rs"))).withColumn("__ok", F.col("__d") <= tolerance_s)
-    best = met.groupBy("__row", *left.columns).agg(F.min(F.when(F.col("__ok"), F.struct("__d", "__p"))).alias("__best"))
+    best = met.groupBy("__row").agg(*[F.first(c).alias(c) for c in left.columns], F.min(F.when(F.col("__ok"), F.struct("__d", "__p"))).alias("__best"))
     return best.select(*left.columns, *[F.col(f"__best.__p.{c}").alias(c) for c in payload])
 
 
@@ -45,4 +45,5 @@ def unique_key_join(left: DataFrame, right: DataFrame, key: Column, right_key: C
 
 def mutual_pairs(df: DataFrame, keys: list[str], consistent: Column) -> DataFrame:
     """Adds ``mutual``: whether the key has exactly two rows that are both consistent."""
-    return df.join(df.groupBy(*keys).agg(((F.count("*") == 2) & F.bool_and(consistent)).alias("mutual")), keys)
+    w = Window.partitionBy(*keys)
+    return df.withColumn("mutual", (F.count("*").over(w) == 2) & F.bool_and(consistent).over(w))

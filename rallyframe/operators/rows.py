@@ -36,11 +36,11 @@ def first_capture(frozen: DataFrame, incoming: DataFrame, keys: list[str], order
 
 def with_conflicts(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Adds ``conflict``: whether the key's rows differ in any of the values (nulls count as a value)."""
-    seen = df.groupBy(*keys).agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(f"__{k}") for k, c in enumerate(values)])
+    differ = lambda c: (F.min(c) != F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count("*")))
     bad = F.lit(False)
-    for k in range(len(values)):
-        bad = bad | (F.col(f"__{k}") > 1)
-    return df.join(seen.select(*keys, bad.alias("conflict")), keys)
+    for c in values:
+        bad = bad | F.coalesce(differ(c), F.lit(False))
+    return df.join(df.groupBy(*keys).agg(bad.alias("conflict")), keys)
 
 
 def repeated(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -21,12 +21,13 @@ def cascade(df: DataFrame, keys: list[str], value: Column, thresholds: list[floa
 
 def exclusive_sections(df: DataFrame, identity: str, day: str, sections: list[tuple[str, Column, int]], order: list[Column]) -> DataFrame:
     """Sections in order of priority take their best rows up to a limit a day; a row taken is out for later ones. Adds section and place."""
-    out, left = None, df
+    taken = df.withColumns({"section": F.lit(None).cast("string"), "place": F.lit(None).cast("int")})
     for name, fits, limit in sections:
-        taken = top_n(left.where(fits), [day], order, limit).withColumn("section", F.lit(name))
-        out = taken if out is None else out.unionByName(taken)
-        left = left.join(taken.select(identity), identity, "left_anti")
-    return out
+        free = F.col("section").isNull() & F.coalesce(fits, F.lit(False))
+        taken = taken.withColumn("__free", free).withColumn("__rank", F.row_number().over(Window.partitionBy(day, "__free").orderBy(*order)))
+        now = F.col("__free") & (F.col("__rank") <= limit)
+        taken = taken.withColumns({"section": F.when(now, F.lit(name)).otherwise(F.col("section")), "place": F.when(now, F.col("__rank")).otherwise(F.col("place"))})
+    return taken.where("section is not null").drop("__free", "__rank")
 
 
 def fixed_sample(df: DataFrame, keys: list[str], parts: list[Column], k: int) -> DataFrame:

@@ -50,9 +50,9 @@ def b9(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(gates.priced_well(F.col("p"), F.col("odds"), 1.5, 0.05, 0.1)).select("l_orderkey", "l_linenumber", (F.col("p") * F.col("odds") - 1).alias("ev"))
 
 
-@query("b10_candidate_gate", f"SELECT {_KEY} FROM ({_PRICED}) WHERE p >= 0.6 AND l_tax >= 0.02::DOUBLE AND least(l_partkey, l_suppkey) >= 20")
+@query("b10_candidate_gate", f"SELECT {_KEY} FROM ({_PRICED}) WHERE p >= 0.6 AND l_tax >= 0.02::DOUBLE AND least(l_partkey, l_suppkey) >= 4")
 def b10(spark: SparkSession, folder: str) -> DataFrame:
-    return _priced(spark, folder).where(gates.candidate(F.col("p"), F.col("l_tax"), [F.col("l_partkey"), F.col("l_suppkey")], 0.6, 0.02, 20)).select("l_orderkey", "l_linenumber")
+    return _priced(spark, folder).where(gates.candidate(F.col("p"), F.col("l_tax"), [F.col("l_partkey"), F.col("l_suppkey")], 0.6, 0.02, 4)).select("l_orderkey", "l_linenumber")
 
 
 @query("b12_integrity", f"""SELECT {_KEY}, concat_ws(',', CASE WHEN p >= 0.8 AND odds >= 2.5 THEN 'price_inversion' END, CASE WHEN l_shipdate >= TIMESTAMP '1999-01-01' THEN 'post_start_quote' END, CASE WHEN p >= 0.8 AND l_linenumber < 2 THEN 'unsubstantiated' END) AS flags FROM ({_PRICED})""")

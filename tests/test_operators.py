@@ -31,6 +31,8 @@ def test_years_round_trip_and_manifest(spark, tmp_path):
     assert sorted(r.id for r in snapshots.read_years(spark, str(tmp_path / "s"), "t").collect()) == [1, 2]
     assert [r.id for r in snapshots.read_years(spark, str(tmp_path / "s"), "t", years=[2024]).collect()] == [1]
     assert [r.id for r in snapshots.read_years(spark, str(tmp_path / "s"), "t", before="2025-05-01 00:00:00").collect()] == [1]
+    snapshots.write_years(data.where("id = 1"), str(tmp_path / "s"), "t", empty_years=[2025])
+    assert [r.id for r in snapshots.read_years(spark, str(tmp_path / "s"), "t").collect()] == [1]
     data.limit(1).withColumn("year", F.lit(2024)).write.mode("append").partitionBy("year").parquet(str(tmp_path / "s/data"))
     with pytest.raises(ValueError):
         snapshots.read_years(spark, str(tmp_path / "s"), "t")
@@ -73,3 +75,66 @@ def test_stream_equals_batch(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted(map(tuple, spark.table("peaks").collect())) == sorted(map(tuple, peaks.peaks(data, ["user_id"], "ts", "value").collect()))
+
+
+def test_old_dates_decay(spark):
+    from rallyframe.operators import history
+
+    rows = [(k, "a", dt.date(1992, 1, 1 + k), float(k)) for k in range(5)] + [(9, "a", dt.date(2150, 1, 1), 3.0), (10, "b", dt.date(1850, 5, 5), None)]
+    df = history.recent(spark.createDataFrame(rows, "i int, k string, day date, v double"), ["k"], "day", "i", ["v"], last=3)
+    got = {r.i: r.m for r in df.select("i", history.decayed(F.col("recent"), F.col("day"), "v", 7).alias("m")).collect()}
+    weights = [2 ** (-age / 7) for age in (3, 2, 1)]
+    assert got[0] is None and got[9] is None and got[10] is None and got[4] == pytest.approx(sum(w * v for w, v in zip(weights, (1, 2, 3))) / sum(weights))
+
+
+def test_values(spark):
+    from rallyframe.functions import values
+
+    rows = [("1,234.5", "6/4", "2025-01-02T03:04:05Z"), ("12%", "+150", "1700000000"), ("x", "-200", "soon"), (None, "1.0", None), ("NaN", "2.5", "")]
+    got = spark.createDataFrame(rows, "n string, o string, t string").select(values.number(F.col("n")).alias("n"), values.decimal_odds(F.col("o")).alias("o"), values.utc_time(F.col("t")).alias("t")).collect()
+    assert [r.n for r in got] == [1234.5, 12.0, None, None, None] and [r.o for r in got] == [2.5, 2.5, 1.5, None, 2.5]
+    assert [r.t is None for r in got] == [False, False, True, True, True]
+    one = spark.range(1).select(
+        values.folded(F.lit(" Łódź-Ñandú ")).alias("f"), values.enum(F.lit(" Clay "), {"clay": ["clay", "red"]}).alias("e"), values.games(F.lit("SSRAD")).alias("g"), values.overround([F.lit(1.9), F.lit(1.9)]).alias("m"),
+        values.elo_update(F.lit(1500.0), F.lit(0.5), F.lit(True), F.lit(0)).alias("elo"), stats.shrink(F.lit(1.0), F.lit(4), F.lit(0.5), 4.0).alias("s"), stats.fair_pair(F.lit(2.0), F.lit(2.0)).alias("p"), stats.expected_value(F.lit(0.5), F.lit(2.2)).alias("ev"),
+        stats.elo_expected(F.lit(1500.0), F.lit(1500.0)).alias("x"), stats.logit(F.lit(0.5)).alias("l"), text.overlap_of_shorter(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2))).alias("o"),
+    ).first()
+    assert one.f == "lodz nandu" and one.e == "clay" and tuple(one.g) == (3, 2, 5) and one.m == pytest.approx(2 / 1.9 - 1) and one.elo > 1500
+    assert (one.s, one.p, one.x, one.l, one.o) == (0.75, 0.5, 0.5, 0.0, 1.0) and one.ev == pytest.approx(0.1)
+
+
+def test_csv_and_jsonl(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,x\n2,y\n")
+    assert snapshots.read_csv(spark, str(tmp_path / "a.csv"), "id int, name string").count() == 2
+    with pytest.raises(ValueError):
+        snapshots.read_csv(spark, str(tmp_path / "a.csv"), "id int, other string")
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n{"a": 2}\n')
+    assert snapshots.read_jsonl(spark, str(tmp_path / "a.jsonl"), "a int", 2, "a > 1").count() == 1
+    with pytest.raises(ValueError):
+        snapshots.read_jsonl(spark, str(tmp_path / "a.jsonl"), "a int", 3)
+
+
+def test_slots_and_once(spark, tmp_path):
+    at = lambda m, s=0: dt.datetime(2025, 1, 1, 12, m, s)
+    rows = spark.createDataFrame([("a", at(3, 59), 1.0), ("a", at(4), 2.0), ("a", at(8, 59), 3.0), ("b", at(9), 4.0), ("b", at(9), 4.0)], "k string, t timestamp, v double")
+    want = {("a", at(-0 or 0).replace(hour=11, minute=59), 1.0), ("a", at(4), 5.0), ("b", at(9), 8.0)}
+    assert {(r.k, r.slot_start, r.total) for r in peaks.slots(rows, "t", ["k"], "v").collect()} == want
+    assert peaks.once(rows, ["k", "v"], "t").count() == 4
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    run = peaks.once(stream, ["k", "v"], "t").writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c")).start()
+    run.processAllAvailable()
+    run.stop()
+    assert spark.table("once").count() == 4
+
+
+def test_merges_on_edge_cases(spark):
+    from rallyframe.operators import gates, linkage
+
+    a = spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")
+    assert {tuple(r) for r in linkage.merged(a, a.limit(0), ["k"], ["v"], []).collect()} == {(1, "x", "old"), (2, None, "old")}
+    with pytest.raises(ValueError):
+        linkage.one_to_one(a, a.union(a).withColumnRenamed("v", "w"), ["k"])
+    twice = gates.swap_sides(gates.swap_sides(a.withColumn("w", F.lit("y")), [("v", "w")]), [("v", "w")])
+    assert {tuple(r) for r in twice.collect()} == {(1, "x", "y"), (2, None, "y")}
+    assert gates.sample_weights(spark.createDataFrame([], "day date"), "day", F.current_date(), 30).count() == 0
