@@ -38,11 +38,11 @@ def c5(spark: SparkSession, folder: str) -> DataFrame:
     return linkage.stream_parity(table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("k")), orders.union(orders), ["k"])
 
 
-@query("c6_possible_duplicates", """WITH e AS (SELECT event_id, event_type, user_id % 6 AS a, (user_id * 7 + event_id) % 6 AS b, ts FROM events)
+@query("c6_possible_duplicates", """WITH e AS (SELECT event_id, event_type, user_id % 6 AS a, (user_id * 7 + event_id // 2) % 6 AS b, ts FROM events)
 SELECT event_id FROM e WHERE event_id % 2 = 0 AND EXISTS (SELECT 1 FROM e k WHERE k.event_id % 2 = 1 AND k.event_type = e.event_type AND least(k.a, k.b) = least(e.a, e.b) AND greatest(k.a, k.b) = greatest(e.a, e.b)
   AND abs(epoch(date_trunc('second', k.ts))::BIGINT - epoch(date_trunc('second', e.ts))::BIGINT) <= 43200)""")
 def c6(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events").select("event_id", "event_type", (F.col("user_id") % 6).alias("a"), ((F.col("user_id") * 7 + F.col("event_id")) % 6).alias("b"), "ts")
+    events = table(spark, folder, "events").select("event_id", "event_type", (F.col("user_id") % 6).alias("a"), ((F.col("user_id") * 7 + F.floor(F.col("event_id") / 2)) % 6).alias("b"), "ts")
     return linkage.possible_duplicates(events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), ["event_type"], "a", "b", "ts", 12).select("event_id")
 
 
