@@ -203,6 +203,26 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_of_another_writer(spark, tmp_path):
+    import gzip
+    import hashlib
+
+    bodies = [b"plain", b"holds WARC/1.1\r\n and\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\nmore", b"", b"last"]
+
+    def record(k, body, length):
+        http = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{k}>\r\nWARC-Page-ID: {k}\r\nWARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}\r\nContent-Length: {len(http) + length}\r\n\r\n"
+        return head.encode() + http + b"\r\n\r\n"
+
+    (tmp_path / "w").mkdir()
+    for name, part in (("a", bodies[:2]), ("b", bodies[2:])):
+        # one gzip member for each record
+        (tmp_path / "w" / f"{name}.txt.gz").write_bytes(b"".join(gzip.compress(record(bodies.index(x), x, 0)) for x in part))
+    (tmp_path / "w" / "c.txt.gz").write_bytes(gzip.compress(record(7, b"cut short", 500)))
+    got = {r.page_id: r for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    assert {k: bytes(got[k].payload) for k in range(4)} == dict(enumerate(bodies)) and all(got[k].intact for k in range(4)) and not got[7].intact
+
+
 def test_chunk_framing():
     assert warc.dechunked(warc.chunked(b"abc" * 9999)) == b"abc" * 9999 and warc.dechunked(b"4\r\nab") is None and warc.dechunked(b"zz\r\n") is None
 
