@@ -125,8 +125,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         return F.transform(met, lambda w: F.struct(w["class"].alias("class"), w["start"].alias("start"), found(w).alias("found")))
 
     # an outer generator and a filter after it: a filter on the arrays before it would make Spark build them again for each use
-    cut = _bound(_shingles(_words(F.col(text_col))), windows)
-    windowed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.inline_outer(cut)).where("class is not null")
+    # numbers are given in a step of their own, as they would else count windows
+    cut = _bound(_shingles(_words(F.col("text"))), windows)
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    windowed = numbered.select("row", "id", F.inline_outer(cut)).where("class is not null")
     banded = windowed.select("row", "id", "class", "start", "found", F.inline(_signature(F.col("found"))))
     retrieved = sized_join(banded, bands, ["class", "band", "value"], "inner", len(named) * BANDS)
     contained = F.size(F.array_intersect("own", "found")) / F.size("own")
