@@ -184,7 +184,11 @@ def test_mixing_comes_near_its_targets(spark, docs):
 
 def test_licenses(spark, docs):
     rows = [(1, "a b c " * 9 + "Released under the MIT License. " + "d e f " * 9, 1), (2, "released UNDER the mit\nlicense", 1), (3, "the MIT was released under license", 1), (4, None, 1), (5, LONG + " Licensed under CC BY-NC 4.0. " + LONG, 1)]
-    got = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license int")).collect()}
+    rows += [(6, "w " * 5 + "Released under the MIT License " + "w " * 40 + "Released under the MIT License", 1)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license int")).collect()
+    got = {(r.doc_id, r.license) for r in found}
+    assert len(found) == len(got) and (6, "MIT") in got
+    got.remove((6, "MIT"))
     assert got == {(1, "MIT"), (2, "MIT"), (5, "CC-BY-NC-4.0")}
     assert licenses.scan(docs).count() == 0 and licenses.scan(docs.limit(0)).count() == 0
 
