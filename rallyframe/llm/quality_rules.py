@@ -1,10 +1,12 @@
 """Quality rules: counted rules, then a hashed n-gram log-likelihood ratio of every document.
 
-Words and word pairs are hashed into buckets, whose number follows the distinct n-grams of the corpus (``LOAD`` in each),
-so that a bucket stays as sharp on a larger corpus. Two smoothed multinomials are counted over whole texts: the trusted
-target (documents whose ids are given as trusted) and the raw corpus (all documents). A document's score is the mean
-over its n-grams of log(target / raw), its own n-grams left out of either count; one below ``THRESHOLD`` is rejected.
-The counts are a table that texts are joined with: broadcast as far as ``BROADCAST`` rows, shuffled above.
+N-grams are words and pairs of neighbouring word shapes (runs of small letters, capitals and digits as one sign each,
+other signs as they are), hashed to 63 bits. N-grams that the corpus holds ``COMMON`` times or more are the vocabulary;
+all rarer words are one symbol and all rarer pairs another, so no n-gram is left out. The vocabulary grows with the
+corpus and its counts stay exact. Two smoothed multinomials are counted over whole texts: the trusted target (documents
+whose ids are given as trusted) and the raw corpus (all documents). A document's score is the mean over its n-grams of
+log(target / raw), its own n-grams left out of either count; one below ``THRESHOLD`` is rejected. The vocabulary is a
+table that texts are joined with: broadcast as far as ``BROADCAST`` rows, shuffled above.
 
 Defined cases: a null or blank text has no words and fails the base rules; with no trusted documents, an empty corpus or
 nothing left beside a document all its ratios are 0 and only the base rules decide; rows alike in text and trust are
@@ -22,26 +24,26 @@ from pyspark.sql import functions as F
 from rallyframe.llm.text import SPACES, words
 from rallyframe.plans.scratch import sized_join, stash
 
-#: Distinct n-grams to a bucket at most, and the fewest buckets (a power of two).
-LOAD, LEAST_BUCKETS = 32, 1 << 12
-#: Distinct n-grams are counted among those of one in so many hashes, as a power of two.
-SAMPLED_BITS = 6
-#: Rows of the bucket table that are broadcast at most.
+#: Occurrences in the corpus from which an n-gram is counted on its own.
+COMMON = 64
+#: Rows of the vocabulary that are broadcast at most.
 BROADCAST = 1 << 22
 #: Mean log ratio under which a document is rejected.
 THRESHOLD = -0.04
-#: Added to each bucket's count, as a share of the mean count of a bucket.
-SMOOTHING = 1.0
+#: Occurrences in the raw corpus, of which the target has its share, that are added to each n-gram's.
+SMOOTHING = 16
+#: Letters and digits that a word's shape shows as one sign for a run of them.
+SHAPES = [(r"[\p{Ll}\p{Lo}\p{M}]+", "a"), (r"\p{Lu}+", "A"), (r"\p{N}+", "0")]
 #: Bits of a packed window that hold its place in the text.
 PLACE_BITS = 20
 SYMBOLS = "[#*$%&|<>]"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
-def _pairs(hashes: Column) -> Column:
+def _pairs(values: Column) -> Column:
     """A hash for each pair of neighbours."""
-    n = F.size(hashes)
-    return F.when(n < 2, F.array().cast("array<bigint>")).otherwise(F.zip_with(F.slice(hashes, 1, n - 1), F.slice(hashes, 2, n - 1), lambda a, b: F.xxhash64(a, b)))
+    n = F.size(values)
+    return F.when(n < 2, F.array().cast("array<bigint>")).otherwise(F.zip_with(F.slice(values, 1, n - 1), F.slice(values, 2, n - 1), lambda a, b: F.xxhash64(a, b)))
 
 
 def _windows(hashes: Column, pairs: Column) -> Column:
@@ -77,10 +79,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _hashes(text: Column) -> Column:
-    return F.transform(words(text), lambda w: F.xxhash64(w))
-
-
 def counted(text: Column) -> Column:
     """The counted rules of a text as a struct of ``BASE``."""
 
@@ -105,13 +103,18 @@ def counted(text: Column) -> Column:
     return let(words(text), lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: let(_pairs(hs), lambda ps: let(_windows(hs, ps), lambda win: let(_seen_twice(win), lambda at: let(lines, lambda ls: rules(ws, at, ls)))))))
 
 
-def _grams(text: Column) -> Column:
-    """A hash for each word and each pair of neighbours."""
-    return let(_hashes(text), lambda hs: F.concat(hs, _pairs(hs)))
+def _shaped(text: Column) -> Column:
+    """The text with each word as its shape; words stay apart."""
+    for runs, sign in SHAPES:
+        text = F.regexp_replace(text, runs, sign)
+    return text
 
 
-def _in_bucket(h: Column, buckets: int) -> Column:
-    return h.bitwiseAND(F.lit(buckets - 1))
+def _grams(text: Column) -> Column:
+    """An even hash for each word and an odd one for each pair of neighbouring shapes."""
+    of_words = F.transform(words(text), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)))
+    of_pairs = let(words(_shaped(text)), lambda ws: F.transform(_pairs(ws), lambda h: h.bitwiseOR(F.lit(1))))
+    return F.concat(of_words, of_pairs)
 
 
 def _runs(values: Column) -> Column:
@@ -126,11 +129,11 @@ def _runs(values: Column) -> Column:
 
 @dataclass
 class Ratios:
-    """Counts of n-grams by bucket (__b, __raw, __target; buckets that occur), their totals, and the trusted ids."""
+    """Counts of the vocabulary (__b, __raw, __target), of rarer words (0) and pairs (1), their totals, and the trusted ids."""
 
     counts: DataFrame
     rows: int
-    buckets: int
+    rarer: dict[int, tuple[int, int]]
     raw: int
     target: int
     trusted: DataFrame
@@ -142,36 +145,47 @@ class Ratios:
         return sized_join(docs, self.trusted, [self.id_col], "left", self.n_trusted)
 
 
-def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
-    """Buckets for the distinct n-grams of ``docs``: a power of two, ``LEAST_BUCKETS`` at least."""
-    some = F.filter(_grams(F.col(text_col)), lambda h: F.shiftrightunsigned(h, 64 - SAMPLED_BITS) == 0)
-    n = docs.select(F.explode(some).alias("__h")).agg(F.approx_count_distinct("__h")).first()[0] << SAMPLED_BITS
-    return max(LEAST_BUCKETS, 1 << (max(-(-n // LOAD), 1) - 1).bit_length())
-
-
 def ratio_table(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ratios:
     """The counts of ``docs``. trusted: ids (column ``id_col``) of the target's documents."""
     ids = trusted.select(id_col).distinct().withColumn("__of", F.lit(1))
-    out = Ratios(docs, 0, bucket_count(docs, text_col), 0, 0, ids, ids.count(), id_col)
-    grams = out.flagged(docs.select(id_col, text_col)).select("__of", F.explode(_grams(F.col(text_col))).alias("__h"))
-    out.counts = stash(grams.groupBy(_in_bucket(F.col("__h"), out.buckets).alias("__b")).agg(F.count("*").alias("__raw"), F.count("__of").alias("__target")), "ratios")
-    out.rows, raw, target = out.counts.agg(F.count("*"), F.sum("__raw"), F.sum("__target")).first()
+    out = Ratios(docs, 0, {}, 0, 0, ids, ids.count(), id_col)
+    grams = out.flagged(docs.select(id_col, text_col)).select("__of", F.explode(_grams(F.col(text_col))).alias("__b"))
+    every = grams.groupBy("__b").agg(F.count("*").alias("__raw"), F.count("__of").alias("__target"))
+    symbol = F.when(F.col("__raw") >= COMMON, F.col("__b")).otherwise(F.col("__b").bitwiseAND(F.lit(1)))
+    counts = stash(every.groupBy(symbol.alias("__b")).agg(F.sum("__raw").alias("__raw"), F.sum("__target").alias("__target")), "ratios")
+    rare = F.col("__b").isin(0, 1)
+    out.counts, out.rarer = counts.where(~rare), {r["__b"]: (r["__raw"], r["__target"]) for r in counts.where(rare).collect()}
+    out.rows, raw, target = counts.agg(F.count("*"), F.sum("__raw"), F.sum("__target")).first()
     out.raw, out.target = raw or 0, target or 0
     return out
 
 
 def scores(flagged: DataFrame, ratios: Ratios, text_col: str = "text", among: bool = True) -> DataFrame:
     """llr of every different text with words, by trust (__of, 0 or 1) and the text's two hashes (__t, __u)."""
-    grams = _runs(F.transform(_grams(F.col(text_col)), lambda h: _in_bucket(h, ratios.buckets)))
-    own = flagged.select("__of", "__t", "__u", F.explode(let(grams, lambda gs: let(F.aggregate(gs, F.lit(0).cast("long"), lambda n, g: n + g["k"]), lambda n: F.transform(gs, lambda g: F.struct(g["b"].alias("b"), g["k"].alias("k"), n.alias("n")))))).alias("__g"))
+    own = flagged.select("__of", "__t", "__u", F.explode(let(_grams(F.col(text_col)), lambda gs: let(F.size(gs).cast("long"), lambda n: F.transform(_runs(gs), lambda g: F.struct(g["b"].alias("b"), g["k"].alias("k"), n.alias("n")))))).alias("__g"))
     own = own.select("__of", "__t", "__u", F.col("__g.b").alias("__b"), F.col("__g.k").alias("__k"), F.col("__g.n").alias("__n"))
     met = sized_join(own, ratios.counts, ["__b"], "left", ratios.rows, BROADCAST)
-    less, less_all = (F.col("__k"), F.col("__n")) if among else (F.lit(0), F.lit(0))
-    raw, target = ratios.raw - less_all, ratios.target - less_all * F.col("__of")
-    each = SMOOTHING / ratios.buckets
-    rarer = F.log((F.coalesce("__target", F.lit(0)) - less * F.col("__of") + each * target) / (F.coalesce("__raw", F.lit(0)) - less + each * raw)) - F.log(target / raw)
-    ratio = F.when((raw > 0) & (target > 0), rarer).otherwise(0.0)
-    return met.groupBy("__of", "__t", "__u").agg((F.sum(F.col("__k") * ratio) / F.sum("__k")).alias("llr"))
+    own_all = F.col("__n") if among else F.lit(0)
+    raw, target = ratios.raw - own_all, ratios.target - own_all * F.col("__of")
+
+    def ratio(in_raw: Column, in_target: Column, k: Column) -> Column:
+        less = k if among else F.lit(0)
+        rarer = F.log((in_target - less * F.col("__of") + SMOOTHING * target / raw) / (in_raw - less + SMOOTHING)) - F.log(target / raw)
+        return F.when((raw > 0) & (target > 0), rarer).otherwise(0.0)
+
+    odd, rare = F.col("__b").bitwiseAND(F.lit(1)) == 1, F.col("__raw").isNull()
+    sums = met.groupBy("__of", "__t", "__u", "__n").agg(
+        F.sum("__k").alias("__all"),
+        F.sum(F.when(~rare, F.col("__k") * ratio(F.col("__raw"), F.col("__target"), F.col("__k"))).otherwise(0.0)).alias("__sum"),
+        F.sum(F.when(rare & ~odd, F.col("__k")).otherwise(0)).alias("__rare0"),
+        F.sum(F.when(rare & odd, F.col("__k")).otherwise(0)).alias("__rare1"),
+    )
+    copies = F.col("__all") / F.col("__n")
+    total = F.col("__sum") / copies
+    for kind in (0, 1):
+        k, (in_raw, in_target) = F.col(f"__rare{kind}") / copies, ratios.rarer.get(kind, (0, 0))
+        total += F.when(k > 0, k * ratio(F.lit(in_raw), F.lit(in_target), k)).otherwise(0.0)
+    return sums.select("__of", "__t", "__u", (total / F.col("__n")).alias("llr"))
 
 
 def judge(docs: DataFrame, ratios: Ratios, text_col: str = "text", threshold: float = THRESHOLD, more: list[str] | None = None, among: bool = True) -> DataFrame:

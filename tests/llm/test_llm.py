@@ -134,9 +134,12 @@ def test_quality_ratios_leave_own_counts_out(spark, monkeypatch):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     trusted = {0, 3, 4, 20}
     ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
-    hashed = table.select("doc_id", "text", quality_rules._grams(F.col("text")).alias("h")).collect()
-    buckets = quality_rules.bucket_count(table)
-    grams = [(r.doc_id, r.text, [h % buckets for h in r.h]) for r in hashed]
+    monkeypatch.setattr(quality_rules, "COMMON", 5)
+    shape = lambda w: re.sub("[0-9]+", "0", re.sub("[a-z]+", "a", w))
+    grams = [(r.doc_id, r.text, [(0, w) for w in words(r.text)] + [(1, shape(a), shape(b)) for a, b in zip(words(r.text), words(r.text)[1:])]) for r in table.collect()]
+    often = Counter(g for _, _, gs in grams for g in gs)
+    assert {often[g] >= 5 for g in often if g[0] == 0} == {True, False}
+    grams = [(i, text, [g if often[g] >= 5 else g[0] for g in gs]) for i, text, gs in grams]
     raw, target = Counter(), Counter()
     for i, _, g in grams:
         raw.update(g)
@@ -145,7 +148,7 @@ def test_quality_ratios_leave_own_counts_out(spark, monkeypatch):
     for i, text, g in grams:
         of, k = i in trusted, Counter(g)
         r, t = raw.total() - len(g), target.total() - of * len(g)
-        each = [np.log((target[b] - of * k[b] + t / buckets) / (raw[b] - k[b] + r / buckets)) - np.log(t / r) for b in g]
+        each = [np.log((target[b] - of * k[b] + quality_rules.SMOOTHING * t / r) / (raw[b] - k[b] + quality_rules.SMOOTHING)) - np.log(t / r) for b in g]
         want[i, text] = np.mean(each) if g else None
     for limit in (quality_rules.BROADCAST, 0):  # broadcast and shuffled
         monkeypatch.setattr(quality_rules, "BROADCAST", limit)
@@ -158,18 +161,19 @@ def test_quality_ratios_leave_own_counts_out(spark, monkeypatch):
         assert next(r.llr for r in got if r.doc_id == 20) == pytest.approx(0, abs=1e-9)
 
 
-def test_quality_buckets_follow_the_corpus(spark):
-    table = spark.range(4000).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 99), i -> concat('w', id * 100 + i)), ' ') AS text")
-    n = 4000 * (100 + 99)
-    assert n / quality_rules.LOAD / 1.2 <= quality_rules.bucket_count(table) <= 2.4 * n / quality_rules.LOAD
-    assert quality_rules.bucket_count(table.limit(5)) == quality_rules.LEAST_BUCKETS
+def test_quality_vocabulary_follows_the_corpus(spark):
+    table = spark.range(4000).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 99), i -> concat('w', (id % 50) * 100 + i)), ' ') AS text")
+    ratios = quality_rules.ratio_table(table, table.limit(40))
+    assert (ratios.rows, ratios.raw, ratios.target, ratios.counts.count()) == (5001, 4000 * 199, 40 * 199, 5001)
+    few = quality_rules.ratio_table(table.limit(5), table.limit(5))
+    assert few.rarer[0] == (500, 500) and few.counts.count() == 1
 
 
 def test_quality_rules_reject_junk_and_keep_clean(spark):
     got = QUERIES["op3_quality_rules"](spark, "/root/testdata/sf0.1").where("n_words >= 50").select("doc_id", "llr").toPandas()
     labels = pd.read_parquet("/root/testdata/sf0.1/labels.parquet").merge(got, on="doc_id")
     rejected = labels.llr < quality_rules.THRESHOLD
-    assert rejected[labels.quality == 0].mean() > 0.9 and rejected[labels.quality == 1].mean() < 0.02
+    assert rejected[labels.quality == 0].mean() > 0.98 and rejected[labels.quality == 1].mean() < 0.005
 
 
 def test_mixing_comes_near_its_targets(spark, docs):
