@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rallyframe.llm import embeddings, licenses, minhash, mixing, packing, quality_classifier, quality_rules, secrets, url_filters, warc
+from rallyframe.llm import bpe, collocations, embeddings, fill_in_middle, licenses, minhash, mixing, packing, quality_classifier, quality_rules, secrets, url_filters, warc
 from rallyframe.llm.text import count_words
 from rallyframe.plans.scratch import scratch_path, sized_join, stash
 from rallyframe.plans.tables import table
@@ -73,6 +73,23 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge(table(spark, folder, "pages"), URL_RULES)
 
 
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    automaton = bpe.automaton_of(public_tokenizers.path("byte_bpe_50k.json"))
+    coded = bpe.decode(bpe.encode(table(spark, folder, "documents"), automaton, keep=["doc_id"]), automaton)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_in_middle.restore(fill_in_middle.fill_in_middle(table(spark, folder, "documents"), seed=1, keep=["doc_id"]))
+    digests = [F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"), most_words=3, least=10, top=2000)
+
+
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 
 _OP4_SQL = rf"""
@@ -136,6 +153,35 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN '
   CASE WHEN first <> page_id THEN first END AS refers_to, true AS intact
 FROM p LEFT JOIN f USING (payload_digest)"""
 
+_OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS us, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, len(us)::BIGINT AS n, ('0x' || x[1:8])::BIGINT AS h1, ('0x' || x[9:16])::BIGINT AS h2, ('0x' || x[17:24])::BIGINT % 100 AS h3, ('0x' || x[25:32])::BIGINT % 100 AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(us[1:a], '') AS prefix, array_to_string(us[a+1:b], '') AS middle, array_to_string(us[b+1:n], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p"""
+
+_OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?
+-
+]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: {'phrase': array_to_string(ws[i:i+k-1], ' '), 'head': array_to_string(ws[i:i+k-2], ' '), 'tail': array_to_string(ws[i+1:i+k-1], ' '), 'first': ws[i], 'last': ws[i+k-1]})) AS x FROM w, (VALUES (1), (2), (3)) x(k) WHERE len(ws) >= k),
+f AS MATERIALIZED (SELECT lang, k, x.phrase AS phrase, any_value(x) AS x, count(*) AS a FROM g GROUP BY lang, k, x.phrase), t AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT * FROM f WHERE k > 1 AND a >= 10),
+e AS (SELECT lang, k, phrase, a, 1 AS cut, x.first AS one, x.tail AS two FROM c UNION ALL SELECT lang, k, phrase, a, 2, x.head, x.last FROM c WHERE k = 3),
+s AS (SELECT e.*, y.a AS l, z.a AS r, (1000000::HUGEINT * e.a * e.a // (y.a::HUGEINT * z.a))::BIGINT AS score
+  FROM e JOIN f y ON y.lang = e.lang AND y.k = cut AND y.phrase = one JOIN f z ON z.lang = e.lang AND z.k = e.k - cut AND z.phrase = two),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, k, phrase ORDER BY score, cut) = 1),
+o AS (SELECT lang, x.head AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, x.tail, a FROM c WHERE k = 3),
+m AS (SELECT lang, phrase, max(a) AS longer FROM o GROUP BY 1, 2),
+q AS (SELECT b.lang, b.phrase, b.a, l, r, n, score FROM b JOIN t ON t.lang = b.lang LEFT JOIN m ON m.lang = b.lang AND m.phrase = b.phrase AND k = 2 WHERE longer IS NULL OR 100 * longer < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM q QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) <= 2000"""
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -147,5 +193,8 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_url_filter": op10_url_filter,
+    "op11_bpe": op11_bpe,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_collocations": op13_collocations,
 }
-ORACLES = {"op2_embedding_dedup": _OP2_SQL, "op4_minhash": _OP4_SQL, "op5_mix": _OP5_SQL, "op6_licenses": _op6_sql(), "op7_warc": _OP7_SQL}
+ORACLES = {"op2_embedding_dedup": _OP2_SQL, "op4_minhash": _OP4_SQL, "op5_mix": _OP5_SQL, "op6_licenses": _op6_sql(), "op7_warc": _OP7_SQL, "op12_fill_in_middle": _OP12_SQL, "op13_collocations": _OP13_SQL}
