@@ -39,12 +39,12 @@ if TYPE_CHECKING:
     import pyarrow as pa
 
 #: Words and transitions that a worker remembers at most; then it starts anew.
-WORDS, ARCS = 1 << 19, 1 << 20
+WORDS, ARCS = 1 << 18, 1 << 19
 #: Code points below which Unicode has its letters and numbers.
 TOP = 0x40000
 #: Fixed values of the byte-level rule.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0                　"
+WHITE_SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_letters() -> dict[int, str]:
@@ -241,7 +241,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], shared: Broadcast, ids_col: str,
 def _decoded(batches: Iterator[pa.RecordBatch], shared: Broadcast, text_col: str, left: list[str]) -> Iterator[pa.RecordBatch]:
     import pyarrow as pa
 
-    labels = shared.value.labels
+    labels = shared.value
 
     def spelt(ids: pa.ListScalar) -> tuple[bytes]:
         own = ids.values.drop_null().to_numpy() if ids.is_valid else np.zeros(0, np.int32)
@@ -266,6 +266,6 @@ def encode(docs: DataFrame, automaton: Automaton, text_col: str = "text", ids_co
 
 def decode(encoded: DataFrame, automaton: Automaton, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``encoded`` with ``text_col``: the text that its ids spell."""
-    shared = encoded.sparkSession.sparkContext.broadcast(automaton)
+    shared = encoded.sparkSession.sparkContext.broadcast(automaton.labels)
     left = [c for c in encoded.columns if c != text_col]
     return _mapped(encoded, F.col(ids_col).alias("__ids"), left, T.StructField(text_col, T.StringType()), lambda it: _decoded(it, shared, text_col, left))
