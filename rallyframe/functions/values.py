@@ -65,9 +65,14 @@ def overround(odds: list[Column]) -> Column:
     return total - 1
 
 
-def elo_update(own: Column, expected: Column, won: Column, played: Column, k: float = 250.0, shift: float = 5.0, power: float = 0.4) -> Column:
-    """A rating after one match with a factor that falls with the matches played."""
-    return own + k / F.pow(played + shift, F.lit(power)) * (won.cast("double") - expected)
+def elo_factor(played: Column, most: float = 32.0, least: float = 12.0, fall: float = 0.16) -> Column:
+    """How far one match moves a rating: it falls with the logarithm of the matches played; below none counts as none."""
+    return F.greatest(F.lit(least), F.least(F.lit(most), most / (1 + fall * F.ln(1 + F.greatest(played, F.lit(0))))))
+
+
+def elo_update(own: Column, expected: Column, won: Column, played: Column, weight: Column | float = 1.0) -> Column:
+    """A rating after one match of so much weight."""
+    return own + elo_factor(played) * weight * (won.cast("double") - expected)
 
 
 def pooled(own: Column, overall: Column, n: Column, strength: float = 8.0) -> Column:

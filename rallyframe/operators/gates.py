@@ -105,10 +105,9 @@ def stepped(x: Column, steps: list[tuple[float, float]], beyond: float) -> Colum
     return F.when(x.isNotNull(), out)
 
 
-def only_id(candidates: Column) -> Column:
-    """The one different value of an array that is not null; null if there are none or several."""
-    found = F.array_distinct(F.filter(candidates, F.isnotnull))
-    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
+def only_value(value: Column) -> Column:
+    """An aggregate: the one value of a group; null if it has several or none."""
+    return F.when(F.min(value) == F.max(value), F.min(value))
 
 
 def banded(x: Column, edges: list[float]) -> Column:

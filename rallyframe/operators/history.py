@@ -22,12 +22,18 @@ def form(df: DataFrame, keys: list[str], day: str, value: Column, prior: float =
 
 
 def recent(df: DataFrame, keys: list[str], day: str, id_col: str, columns: list[str], last: int = 80, horizon: int = 400) -> DataFrame:
-    """Adds recent: the key's last ``last`` rows of earlier days within ``horizon`` days, as structs (d, i, columns) in order.
+    """One row for each key and day at hand: recent, the key's last ``last`` rows of earlier days within ``horizon`` days, as structs (d, i, columns) in order.
 
-    The horizon bounds what a row can gather, whatever a key's history.
+    A day's last rows are gathered first (no more of them can count), and a day looks back over as many of the key's days, so
+    work is linear in a key's days however many rows they have. What is made of a history is joined back by key and day.
     """
-    rows = F.collect_list(F.struct(F.unix_date(F.col(day)).alias("d"), F.col(id_col).alias("i"), *columns)).over(before_day(keys, day, horizon))
-    return df.withColumn("recent", F.slice(F.sort_array(rows), F.greatest(F.size(rows) - last, F.lit(0)) + 1, F.lit(last)))
+    at = F.unix_date(F.col(day))
+    newest = Window.partitionBy(*keys, day).orderBy(F.desc(id_col))
+    rows = df.withColumn("__k", F.row_number().over(newest)).where(F.col("__k") <= last)
+    days = rows.groupBy(*keys, day).agg(F.sort_array(F.collect_list(F.struct(at.alias("d"), F.col(id_col).alias("i"), *columns))).alias("__rows"))
+    before = F.flatten(F.collect_list("__rows").over(Window.partitionBy(*keys).orderBy(at).rowsBetween(-last, -1)))
+    near = F.filter(before, lambda r: r["d"] >= at - horizon)
+    return days.withColumn("recent", near).select(*keys, day, F.slice("recent", F.greatest(F.size("recent") - last, F.lit(0)) + 1, F.lit(last)).alias("recent"))
 
 
 def decayed(history: Column, today: Column, value: str, half_life: float, prior: float | None = None, prior_weight: float = 0.0, only: Callable[[Column], Column] | None = None) -> Column:
@@ -46,10 +52,15 @@ def decayed_moments(history: Column, today: Column, value: str, half_life: float
     """A struct (n, ess, mean, variance): decayed mean and population variance of a ``recent`` history, and its effective size."""
     rows = F.filter(history, lambda r: r[value].isNotNull())
     weighed = F.transform(rows, lambda r: F.struct(F.pow(F.lit(2.0), -(F.unix_date(today) - r["d"]) / half_life).alias("w"), r[value].cast("double").alias("x")))
-    total = lambda f: F.aggregate(weighed, F.lit(0.0), lambda a, r: a + f(r))
-    w, ww, wx = total(lambda r: r["w"]), total(lambda r: r["w"] * r["w"]), total(lambda r: r["w"] * r["x"])
-    mean = F.try_divide(wx, w)
-    return F.struct(F.size(rows).cast("long").alias("n"), F.try_divide(w * w, ww).alias("ess"), mean.alias("mean"), F.try_divide(total(lambda r: r["w"] * (r["x"] - mean) * (r["x"] - mean)), w).alias("variance"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c) for c in ("w", "ww", "wx")])
+    add = lambda a, r: F.struct((a["n"] + 1).alias("n"), (a["w"] + r["w"]).alias("w"), (a["ww"] + r["w"] * r["w"]).alias("ww"), (a["wx"] + r["w"] * r["x"]).alias("wx"))
+
+    def finish(a: Column) -> Column:
+        mean = F.try_divide(a["wx"], a["w"])  # of the sums, so cheap to repeat for each row
+        off = F.aggregate(weighed, F.lit(0.0), lambda total, r: total + r["w"] * (r["x"] - mean) * (r["x"] - mean))
+        return F.struct(a["n"].alias("n"), F.try_divide(a["w"] * a["w"], a["ww"]).alias("ess"), mean.alias("mean"), F.try_divide(off, a["w"]).alias("variance"))
+
+    return F.aggregate(weighed, start, add, finish)
 
 
 def trailing_counts(df: DataFrame, keys: list[str], day: str, windows: list[int], value: Column) -> DataFrame:
@@ -84,17 +95,31 @@ def running_baseline(df: DataFrame, keys: list[str], day: str, value: Column, we
     return df.join(per, [*keys, day])
 
 
-def row_index(df: DataFrame, surface: str, venue: str, event: str, order: list[str], value: str, least: tuple[int, int, int] = (20, 5, 3)) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], order: list[str], day: str, value: str, name: str) -> DataFrame:
+    """Adds <name>n and <name>x: count and sum of the key's values in earlier rows (by ``order``, which ``day`` never contradicts).
+
+    A key's days are summed and run up first; rows are numbered within a day only, so no task holds more than a key's day.
+    """
+    days = df.groupBy(*keys, day).agg(F.count(value).alias("__n"), F.coalesce(F.sum(value), F.lit(0.0)).alias("__x"))
+    before = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(*keys, day, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__x").over(before), F.lit(0.0)).alias("__x0"))
+    own = Window.partitionBy(*keys, day).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = df.withColumns({"__n1": F.count(value).over(own), "__x1": F.coalesce(F.sum(value).over(own), F.lit(0.0))})
+    return within.join(days, [*keys, day]).withColumns({f"{name}n": F.col("__n0") + F.col("__n1"), f"{name}x": F.col("__x0") + F.col("__x1")}).drop("__n0", "__x0", "__n1", "__x1")
+
+
+def row_index(df: DataFrame, surface: str, venue: str, event: str, order: list[str], value: str, day: str, least: tuple[int, int, int] = (20, 5, 3)) -> DataFrame:
     """Adds baseline (of the surface), venue_index and event_index: means of earlier rows, each null below its least number.
 
-    The venue's rows leave the running event out; indexes are differences to the surface's mean. Row by row, not by day.
+    The venue's rows leave the running event out; indexes are differences to the surface's mean. Row by row, not by day; sums
+    run over days first (``running_sums``).
     """
-    frame = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    by_surface, by_venue, by_event = frame(surface), frame(surface, venue), frame(surface, venue, event)
-    total = lambda w: (F.count(value).over(w), F.coalesce(F.sum(value).over(w), F.lit(0.0)))
-    (ns, xs), (nv, xv), (ne, xe) = total(by_surface), total(by_venue), total(by_event)
+    for name, keys in (("__s", [surface]), ("__v", [surface, venue]), ("__e", [surface, venue, event])):
+        df = running_sums(df, keys, order, day, value, name)
+    (ns, xs), (nv, xv), (ne, xe) = ((F.col(f"{p}n"), F.col(f"{p}x")) for p in ("__s", "__v", "__e"))
     base = F.when(ns >= least[0], xs / ns)
-    return df.withColumns({"baseline": F.round(base, 6), "venue_index": F.round(F.when(nv - ne >= least[1], (xv - xe) / (nv - ne)) - base, 6), "event_index": F.round(F.when(ne >= least[2], xe / ne) - base, 6)})
+    found = df.withColumns({"baseline": F.round(base, 6), "venue_index": F.round(F.when(nv - ne >= least[1], (xv - xe) / (nv - ne)) - base, 6), "event_index": F.round(F.when(ne >= least[2], xe / ne) - base, 6)})
+    return found.drop("__sn", "__sx", "__vn", "__vx", "__en", "__ex")
 
 
 def first_and_last_quote(quotes: DataFrame, keys: list[str], time: str, start: str, price: str, early: tuple[int, int] = (36, 2), late_minutes: int = 90) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rallyframe.functions.text import plain_name
+from rallyframe.operators.ranges import numbered
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,8 +138,7 @@ def carried_forward(today: DataFrame, before: DataFrame, key: str, place: str) -
     """Rows issued before keep their place and content; new rows follow them in their own order; nothing shrinks."""
     fresh = today.join(before.select(key), key, "left_anti")
     top = before.agg(F.coalesce(F.max(place), F.lit(0)).alias("__top"))
-    # one day's new rows are ranked in one window: few by nature
-    moved = fresh.withColumn("__r", F.row_number().over(Window.orderBy(place, key))).join(F.broadcast(top)).withColumn(place, F.col("__top") + F.col("__r"))
+    moved = numbered(fresh, place, [F.col(key)], "__r").join(F.broadcast(top)).withColumn(place, F.col("__top") + F.col("__r"))  # one row
     return before.unionByName(moved.select(*before.columns))
 
 

@@ -19,9 +19,24 @@ def cascade(df: DataFrame, keys: list[str], value: Column, thresholds: list[floa
     return df.join(counts.select(*keys, chosen.alias("threshold")), keys).where(value >= F.col("threshold"))
 
 
+def _contenders(df: DataFrame, day: str, tiers: list[Column], order: list[Column], most: int) -> DataFrame:
+    """Rows that are among a day's best ``most`` of some section, by tier (null: does not fit) and ``order``; the others can have no place.
+
+    All sections are ranked in one pass, and each task passes on a day's best rows only.
+    """
+    fits = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), tier.alias("tier")) for k, tier in enumerate(tiers)]), lambda s: s["tier"].isNotNull())
+    each = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__s", F.explode(fits))
+    best = each.withColumn("__best", F.row_number().over(Window.partitionBy(day, "__s.k").orderBy("__s.tier", *order))).where(F.col("__best") <= most)
+    return best.dropDuplicates(["__row"]).drop("__row", "__s", "__best")
+
+
 def exclusive_sections(df: DataFrame, identity: str, day: str, sections: list[tuple[str, Column, int]], order: list[Column]) -> DataFrame:
-    """Sections in order of priority take their best rows up to a limit a day; a row taken is out for later ones. Adds section and place."""
-    taken = df.withColumns({"section": F.lit(None).cast("string"), "place": F.lit(None).cast("int")})
+    """Sections in order of priority take their best rows up to a limit a day; a row taken is out for later ones. Adds section and place.
+
+    Only the contenders, at most the sum of all limits for each section and day, are ranked section by section.
+    """
+    taken = _contenders(df, day, [F.when(fits, F.lit(0)) for _, fits, _ in sections], order, sum(limit for _, _, limit in sections))
+    taken = taken.withColumns({"section": F.lit(None).cast("string"), "place": F.lit(None).cast("int")})
     for name, fits, limit in sections:
         free = F.col("section").isNull() & F.coalesce(fits, F.lit(False))
         taken = taken.withColumn("__free", free).withColumn("__rank", F.row_number().over(Window.partitionBy(day, "__free").orderBy(*order)))
@@ -70,10 +85,13 @@ def one_per_event(df: DataFrame, keys: list[str], event: str, tier: Column, orde
 def sections(df: DataFrame, identity: str, day: str, rules: list[tuple[str, Column, list[Column], int]], order: list[Column], fallback: Column | None = None, least: int = 0) -> DataFrame:
     """The section selector: rules (name, gate, tiers, limit) in order of priority, one section a row; the last one is filled from ``fallback`` to ``least``.
 
-    A row fits the sections of an array of structs; each round gives every day's rows still free their place in one
-    section, so the plan grows with the number of sections, not with its square.
+    Only contenders, for each section and day at most the sum of all limits, are kept; each round then gives those still free
+    their place in one section.
     """
-    left = df.withColumns({f"__s{k}": F.when(gate, first_tier(tiers)) for k, (_, gate, tiers, _) in enumerate(rules)}).withColumn("section", F.lit(None).cast("string")).withColumn("place", F.lit(None).cast("int"))
+    fitting = [F.when(gate, first_tier(tiers)) for _, gate, tiers, _ in rules]
+    spares = [] if fallback is None else [F.when(fallback & fitting[-1].isNull(), F.lit(0))]
+    left = _contenders(df, day, [*fitting, *spares], order, sum(limit for *_, limit in rules) + least)
+    left = left.withColumns({f"__s{k}": tier for k, tier in enumerate(fitting)}).withColumn("section", F.lit(None).cast("string")).withColumn("place", F.lit(None).cast("int"))
     for k, (name, _, _, limit) in enumerate(rules):
         fits = F.col("section").isNull() & F.col(f"__s{k}").isNotNull()
         if fallback is not None and k == len(rules) - 1:

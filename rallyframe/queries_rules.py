@@ -144,8 +144,7 @@ def k9(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("k11_unique_id", "SELECT l_orderkey, CASE WHEN count(DISTINCT l_suppkey) = 1 THEN min(l_suppkey) END AS supplier FROM lineitem GROUP BY 1")
 def k11(spark: SparkSession, folder: str) -> DataFrame:
-    # the distinct values of a key are collected, which a key of an order bounds
-    return _lines(spark, folder).groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("s")).select("l_orderkey", gates.only_id(F.col("s")).alias("supplier"))
+    return _lines(spark, folder).groupBy("l_orderkey").agg(gates.only_value(F.col("l_suppkey")).alias("supplier"))
 
 
 @query("d9_custom_bins", "SELECT CASE WHEN p < 0.55 THEN 0 WHEN p < 0.6 THEN 1 WHEN p < 0.65 THEN 2 WHEN p < 0.7 THEN 3 WHEN p < 0.8 THEN 4 ELSE 5 END::INT AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate FROM (SELECT l_quantity / 50 AS p, (l_returnflag = 'R')::INT AS y FROM lineitem) WHERE p BETWEEN 0.5 AND 1 GROUP BY 1")
