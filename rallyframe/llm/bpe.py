@@ -96,15 +96,17 @@ class Automaton:
         made = {token for token, label in spelt.items() if len(label) == 1}
         self.token = {self.labels[token]: token for token in made}
         shared = {0: len(made) + 1}  # tokens by state; the start counts as one
+        self.arcs: dict[int, bool] = {}
         for at, (left, right) in enumerate(merges):
             u, v, w = vocab[left], vocab[right], vocab[left + right]
             if u not in made or v not in made or w in made:
                 raise ValueError(f"merge {at} joins what no earlier merge makes, or makes a token again: {left} {right}")
             made.add(w)
-            self.token[self.labels[w]] = w
-            self.longest = max(self.longest, len(self.labels[w]))
-            self._gadget(at, u, v, w, shared)
-        self.arcs: dict[int, bool] = {}
+            if self.labels[u] in self.token and self.labels[v] in self.token and self.has_arc(self.target[u], v):
+                self.token[self.labels[w]] = w
+                self.longest = max(self.longest, len(self.labels[w]))
+                self._gadget(at, u, v, w, shared)
+            # else no word ever holds u before v at this merge, and nothing changes: w is on no path
 
     def _gadget(self, at: int, u: int, v: int, w: int, shared: dict[int, int]) -> None:
         """Add arc w beside arc u to where v leads, and take arc v from where u leads."""

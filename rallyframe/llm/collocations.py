@@ -35,7 +35,7 @@ if TYPE_CHECKING:
 #: Bytes of text after which a block is closed.
 BLOCK = 1 << 23
 #: Pairs handed on at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 #: Parts in which each language's best rows are first found.
 SLOTS = 64
 #: The signs that end a piece, and a pattern of words and of runs of such signs.

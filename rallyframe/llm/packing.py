@@ -186,8 +186,8 @@ def _best_fit(left: np.ndarray, capacity: int) -> list[Filling]:
     return [x for at in open_.values() for x in at]
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[Filling]:
-    """Fillings ((length, times), ...) of one sequence and how many sequences get them. counts: pieces by length.
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[Filling, bool]]:
+    """Fillings (((length, times), ...), number of sequences that get it), and whether the index of sums made it. counts: pieces by length.
 
     Exact fills use up short pieces that best fit could have put into many gaps, so the plan is made for several least
     lengths of an exact fill (the last leaves all to best fit), and the one with the fewest sequences is taken.
@@ -197,9 +197,9 @@ def plan(counts: dict[int, int], capacity: int) -> list[Filling]:
         left = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             left[length] = n
-        made = _exact(left, capacity, least) + _best_fit(left, capacity)
-        if fewest is None or sum(n for _, n in made) < fewest:
-            best, fewest = made, sum(n for _, n in made)
+        made = [(f, True) for f in _exact(left, capacity, least)] + [(f, False) for f in _best_fit(left, capacity)]
+        if fewest is None or sum(n for (_, n), _ in made) < fewest:
+            best, fewest = made, sum(n for (_, n), _ in made)
     return best
 
 
@@ -211,12 +211,13 @@ def _placed(batches: Iterator[pd.DataFrame], table: dict[str, np.ndarray]) -> It
         beyond = key - table["key"][at]
         times = table["times"][at]
         batch["sequence_id"] = table["first"][at] + beyond // times
+        batch["exact"] = table["exact"][at].astype(bool)
         batch["offset"] = table["offset"][at] + beyond % times * batch["length"].to_numpy()
         yield batch.drop(columns=["number"])
 
 
 def pack(docs: DataFrame, tokenizer_path: str, pattern: str, special: tuple[str, ...] = ("<|endoftext|>",), capacity: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """Per piece: the id, piece, start, length, ids_crc32, ids (null unless keep_ids; little-endian unsigned 32-bit), sequence_id and offset.
+    """Per piece: the id, piece, start, length, ids_crc32, ids (null unless keep_ids; little-endian unsigned 32-bit), sequence_id, exact (whether the index of sums filled the sequence) and offset.
 
     The tokenizer is a byte-level BPE; pattern is its rule for pre-tokens. special: strings it takes for tokens. end: the id that closes a document.
     """
@@ -226,20 +227,21 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, special: tuple[str,
     pieces = stash(texts.mapInPandas(lambda it: _tokenised(it, tokenizer_path, pattern, special, capacity, end, keep_ids), schema + ", turn long"), "pieces")
 
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
-    keys, first, offsets, repeats = [], [], [], []
+    keys, first, offsets, repeats, exact = [], [], [], [], []
     given, sequences = dict.fromkeys(counts, 0), 0
-    for parts, n in plan(counts, capacity):
+    for (parts, n), by_index in plan(counts, capacity):
         at = 0
         for length, times in parts:
             keys.append(length * (1 << 48) + given[length])
             first.append(sequences)
             offsets.append(at)
             repeats.append(times)
+            exact.append(by_index)
             given[length] += n * times
             at += length * times
         sequences += n
     order = np.argsort(np.array(keys, np.int64))
-    table = {k: np.array(v, np.int64)[order] for k, v in (("key", keys), ("first", first), ("offset", offsets), ("times", repeats))}
+    table = {k: np.array(v, np.int64)[order] for k, v in (("key", keys), ("first", first), ("offset", offsets), ("times", repeats), ("exact", exact))}
 
     slots = max(SLOTS, -(-max(counts.values(), default=0) // SLOT_ROWS))
     slotted = pieces.withColumn("slot", F.pmod("turn", F.lit(slots)))
@@ -248,6 +250,6 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, special: tuple[str,
     sizes = sizes.select("length", "slot", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     within = Window.partitionBy("length", "slot").orderBy("id", "piece", "ids_crc32", "turn")
     numbered = slotted.withColumn("own", F.row_number().over(within)).join(sizes, ["length", "slot"]).withColumn("number", F.col("before") + F.col("own") - 1)
-    placed = numbered.select("id", "piece", "start", "length", "ids_crc32", "ids", "number").mapInPandas(lambda it: _placed(it, table), schema + ", sequence_id long, offset long")
-    empty = pieces.drop("turn").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    placed = numbered.select("id", "piece", "start", "length", "ids_crc32", "ids", "number").mapInPandas(lambda it: _placed(it, table), schema + ", sequence_id long, exact boolean, offset long")
+    empty = pieces.drop("turn").withColumns({"sequence_id": F.lit(0).cast("long"), "exact": F.lit(False), "offset": F.lit(0).cast("long")})
     return (placed if sequences else empty).withColumnRenamed("id", id_col)

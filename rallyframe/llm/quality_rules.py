@@ -1,12 +1,12 @@
 """Quality rules: counted rules, then a hashed n-gram log-likelihood ratio of every document.
 
-N-grams are words and pairs of neighbouring word shapes (runs of small letters, capitals and digits as one sign each,
-other signs as they are), hashed to 63 bits. N-grams that the corpus holds ``COMMON`` times or more are the vocabulary;
-all rarer words are one symbol and all rarer pairs another, so no n-gram is left out. The vocabulary grows with the
-corpus and its counts stay exact. Two smoothed multinomials are counted over whole texts: the trusted target (documents
-whose ids are given as trusted) and the raw corpus (all documents). A document's score is the mean over its n-grams of
-log(target / raw), its own n-grams left out of either count; one below ``THRESHOLD`` is rejected. The vocabulary is a
-table that texts are joined with: broadcast as far as ``BROADCAST`` rows, shuffled above.
+N-grams are pairs of neighbouring words and pairs of neighbouring word shapes (runs of small letters, capitals and digits as
+one sign each, other signs as they are). Every n-gram is hashed to a bucket, none is left out or treated apart for being
+rare; the number of buckets is a power of two that follows the corpus's bytes (``BYTES`` of them for each bucket, ``MOST``
+buckets at most). Two smoothed multinomials over the buckets are counted on whole texts: the trusted target (documents whose
+ids are given as trusted) and the raw corpus (all documents). A document's score is the mean over its n-grams of
+log(target / raw), its own n-grams left out of either count; one below ``THRESHOLD`` is rejected. The counts are a table
+whose rows hold the counts of 1024 buckets each; it is broadcast at every size, as ``MOST`` bounds it to 1 GB.
 
 Defined cases: a null or blank text has no words and fails the base rules; with no trusted documents, an empty corpus or
 nothing left beside a document all its ratios are 0 and only the base rules decide; rows alike in text and trust are
@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from rallyframe.llm.text import SPACES, words
 from rallyframe.plans.scratch import sized_join, stash
 
-#: Occurrences in the corpus from which an n-gram is counted on its own.
-COMMON = 64
-#: Rows of the vocabulary that are broadcast at most.
-BROADCAST = 1 << 22
+#: Bytes of text for each bucket of n-grams; buckets at least and at most.
+BYTES, LEAST, MOST = 512, 1 << 12, 1 << 26
+#: Bits of a bucket's number that are its place in a row of the table.
+ROW_BITS = 10
 #: Mean log ratio under which a document is rejected.
-THRESHOLD = -0.04
-#: Occurrences in the raw corpus, of which the target has its share, that are added to each n-gram's.
-SMOOTHING = 16
+THRESHOLD = -0.02
+#: Occurrences in the raw corpus, of which the target has its share, that are added to each bucket's.
+SMOOTHING = 64
 #: Letters and digits that a word's shape shows as one sign for a run of them.
 SHAPES = [(r"[\p{Ll}\p{Lo}\p{M}]+", "a"), (r"\p{Lu}+", "A"), (r"\p{N}+", "0")]
 #: Bits of a packed window that hold its place in the text.
@@ -110,11 +110,12 @@ def _shaped(text: Column) -> Column:
     return text
 
 
-def _grams(text: Column) -> Column:
-    """An even hash for each word and an odd one for each pair of neighbouring shapes."""
-    of_words = F.transform(words(text), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)))
-    of_pairs = let(words(_shaped(text)), lambda ws: F.transform(_pairs(ws), lambda h: h.bitwiseOR(F.lit(1))))
-    return F.concat(of_words, of_pairs)
+def _grams(text: Column, buckets: int) -> Column:
+    """The bucket of each pair of neighbouring words and of each pair of neighbouring shapes."""
+    low = F.lit(buckets - 1).cast("long")
+    of_words = let(words(text), lambda ws: F.transform(_pairs(ws), lambda h: h.bitwiseAND(low)))
+    of_shapes = let(words(_shaped(text)), lambda ws: F.transform(_pairs(ws), lambda h: F.xxhash64(h).bitwiseAND(low)))
+    return F.concat(of_words, of_shapes)
 
 
 def _runs(values: Column) -> Column:
@@ -129,11 +130,10 @@ def _runs(values: Column) -> Column:
 
 @dataclass
 class Ratios:
-    """Counts of the vocabulary (__b, __raw, __target), of rarer words (0) and pairs (1), their totals, and the trusted ids."""
+    """Counts of the buckets (__row, __raw and __target, an array of 2^ROW_BITS buckets each), how many buckets, the totals, and the trusted ids."""
 
     counts: DataFrame
-    rows: int
-    rarer: dict[int, tuple[int, int]]
+    buckets: int
     raw: int
     target: int
     trusted: DataFrame
@@ -145,51 +145,45 @@ class Ratios:
         return sized_join(docs, self.trusted, [self.id_col], "left", self.n_trusted)
 
 
+def bucket_count(size: int) -> int:
+    """Buckets for a corpus of so many bytes."""
+    return min(MOST, max(LEAST, 1 << max(0, -(-size // BYTES) - 1).bit_length()))
+
+
 def ratio_table(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ratios:
     """The counts of ``docs``. trusted: ids (column ``id_col``) of the target's documents."""
     ids = trusted.select(id_col).distinct().withColumn("__of", F.lit(1))
-    out = Ratios(docs, 0, {}, 0, 0, ids, ids.count(), id_col)
-    grams = out.flagged(docs.select(id_col, text_col)).select("__of", F.explode(_grams(F.col(text_col))).alias("__b"))
-    every = grams.groupBy("__b").agg(F.count("*").alias("__raw"), F.count("__of").alias("__target"))
-    symbol = F.when(F.col("__raw") >= COMMON, F.col("__b")).otherwise(F.col("__b").bitwiseAND(F.lit(1)))
-    counts = stash(every.groupBy(symbol.alias("__b")).agg(F.sum("__raw").alias("__raw"), F.sum("__target").alias("__target")), "ratios")
-    rare = F.col("__b").isin(0, 1)
-    out.counts, out.rarer = counts.where(~rare), {r["__b"]: (r["__raw"], r["__target"]) for r in counts.where(rare).collect()}
-    out.rows, raw, target = counts.agg(F.count("*"), F.sum("__raw"), F.sum("__target")).first()
-    out.raw, out.target = raw or 0, target or 0
+    n = bucket_count(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
+    out = Ratios(docs, n, 0, 0, ids, ids.count(), id_col)
+    grams = out.flagged(docs.select(id_col, text_col)).select(F.explode(_grams(F.col(text_col), n)).alias("__b"), "__of", F.lit(1).alias("__k"))
+    every = docs.sparkSession.range(n).select(F.col("id").alias("__b"), F.lit(None).cast("int").alias("__of"), F.lit(0).alias("__k"))  # also buckets that nothing is in
+    counts = grams.union(every).groupBy("__b").agg(F.sum("__k").alias("__raw"), F.count("__of").alias("__target"))
+    rows = counts.groupBy(F.shiftright("__b", ROW_BITS).alias("__row")).agg(F.sort_array(F.collect_list(F.struct("__b", "__raw", "__target"))).alias("c"))
+    table = stash(rows.select("__row", F.col("c.__raw").alias("__raw"), F.col("c.__target").alias("__target")), "ratios")
+    total = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y))
+    out.raw, out.target, most = table.agg(total("__raw"), total("__target"), F.max(F.array_max("__raw"))).first()
+    kind = "array<int>" if most < 1 << 31 else "array<long>"
+    out.counts = table.select("__row", F.col("__raw").cast(kind).alias("__raw"), F.col("__target").cast(kind).alias("__target"))
     return out
 
 
 def scores(flagged: DataFrame, ratios: Ratios, text_col: str = "text", among: bool = True) -> DataFrame:
-    """llr of every different text with words, by trust (__of, 0 or 1) and the text's two hashes (__t, __u)."""
-    own = flagged.select("__of", "__t", "__u", F.explode(let(_grams(F.col(text_col)), lambda gs: let(F.size(gs).cast("long"), lambda n: F.transform(_runs(gs), lambda g: F.struct(g["b"].alias("b"), g["k"].alias("k"), n.alias("n")))))).alias("__g"))
+    """llr of every different text with n-grams, by trust (__of, 0 or 1) and the text's two hashes (__t, __u)."""
+    own = flagged.select("__of", "__t", "__u", F.explode(let(_grams(F.col(text_col), ratios.buckets), lambda gs: let(F.size(gs).cast("long"), lambda n: F.transform(_runs(gs), lambda g: F.struct(g["b"].alias("b"), g["k"].alias("k"), n.alias("n")))))).alias("__g"))
     own = own.select("__of", "__t", "__u", F.col("__g.b").alias("__b"), F.col("__g.k").alias("__k"), F.col("__g.n").alias("__n"))
-    met = sized_join(own, ratios.counts, ["__b"], "left", ratios.rows, BROADCAST)
-    own_all = F.col("__n") if among else F.lit(0)
-    raw, target = ratios.raw - own_all, ratios.target - own_all * F.col("__of")
-
-    def ratio(in_raw: Column, in_target: Column, k: Column) -> Column:
-        less = k if among else F.lit(0)
-        rarer = F.log((in_target - less * F.col("__of") + SMOOTHING * target / raw) / (in_raw - less + SMOOTHING)) - F.log(target / raw)
-        return F.when((raw > 0) & (target > 0), rarer).otherwise(0.0)
-
-    odd, rare = F.col("__b").bitwiseAND(F.lit(1)) == 1, F.col("__raw").isNull()
-    sums = met.groupBy("__of", "__t", "__u", "__n").agg(
-        F.sum("__k").alias("__all"),
-        F.sum(F.when(~rare, F.col("__k") * ratio(F.col("__raw"), F.col("__target"), F.col("__k"))).otherwise(0.0)).alias("__sum"),
-        F.sum(F.when(rare & ~odd, F.col("__k")).otherwise(0)).alias("__rare0"),
-        F.sum(F.when(rare & odd, F.col("__k")).otherwise(0)).alias("__rare1"),
-    )
-    copies = F.col("__all") / F.col("__n")
-    total = F.col("__sum") / copies
-    for kind in (0, 1):
-        k, (in_raw, in_target) = F.col(f"__rare{kind}") / copies, ratios.rarer.get(kind, (0, 0))
-        total += F.when(k > 0, k * ratio(F.lit(in_raw), F.lit(in_target), k)).otherwise(0.0)
-    return sums.select("__of", "__t", "__u", (total / F.col("__n")).alias("llr"))
+    met = own.join(F.broadcast(ratios.counts), F.shiftright("__b", ROW_BITS) == F.col("__row"))
+    place, less = F.col("__b").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).cast("int"), F.col("__k") if among else F.lit(0)
+    all_own = F.col("__n") if among else F.lit(0)
+    raw, target = ratios.raw - all_own, ratios.target - all_own * F.col("__of")
+    in_raw, in_target = F.get("__raw", place), F.get("__target", place)
+    ratio = F.log((in_target - less * F.col("__of") + SMOOTHING * target / raw) / (in_raw - less + SMOOTHING)) - F.log(target / raw)
+    ratio = F.when((raw > 0) & (target > 0), ratio).otherwise(0.0)
+    sums = met.groupBy("__of", "__t", "__u", "__n").agg(F.sum("__k").alias("__all"), F.sum(F.col("__k") * ratio).alias("__sum"))
+    return sums.select("__of", "__t", "__u", (F.col("__sum") / F.col("__all")).alias("llr"))  # copies add to both sums alike
 
 
 def judge(docs: DataFrame, ratios: Ratios, text_col: str = "text", threshold: float = THRESHOLD, more: list[str] | None = None, among: bool = True) -> DataFrame:
-    """Every row of ``docs`` with the columns of ``BASE``, llr (mean log ratio; null without words) and kept.
+    """Every row of ``docs`` with the columns of ``BASE``, llr (mean log ratio; null below two words) and kept.
 
     ratios: a ``ratio_table``. more: the input columns to keep, by default all. among: whether ``docs`` are among the
     documents that were counted, so that their own counts are left out.

@@ -153,10 +153,10 @@ def train(labelled: DataFrame, known: list[str] | None = None, most: int = MOST_
     return Forest(forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows.coalesce(1))), known or PLACEHOLDERS)
 
 
-def forest_of(docs: DataFrame, text_col: str = "text") -> Forest:
-    """A forest on ``labelled_findings`` with the dictionary of ``docs``."""
+def forest_of(docs: DataFrame, text_col: str = "text", labelled: DataFrame | None = None) -> Forest:
+    """A forest with the dictionary of ``docs``. labelled: findings (candidate, before, path, label 0 or 1) of the caller's; without any, ``labelled_findings``."""
     known = dictionary(docs, text_col)
-    return train(labelled_findings(docs.sparkSession, known), known)
+    return train(labelled_findings(docs.sparkSession, known) if labelled is None else labelled, known)
 
 
 def _tree(node, row: Column) -> Column:
