@@ -10,17 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyframe.llm import minhash, mixing, packing, quality_rules, secrets
-from rallyframe.plans.scratch import sized_join, stash
+from rallyframe.plans.scratch import stash, unstash
 from rallyframe.plans.tables import table
 
-#: No SQL: hashed ratios, the forest and the tokenizer have no equal there; tests/llm compares the stages with brute force.
+#: No SQL: hashed ratios, the forest and the tokenizer have no equal there; tests/llm/test_pipeline.py compares each stage's rows.
 ORACLE_SQL = None
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the trusted target is what ``labels`` marks as of quality."""
-    ratios = quality_rules.ratio_table(docs, table(spark, sf_dir, "labels").where("quality = 1"))
-    return quality_rules.judge(docs, ratios).where("kept").select(*docs.columns)
+    return quality_rules.judge(docs, table(spark, sf_dir, "labels").where("quality = 1")).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +47,9 @@ STAGES = [("quality_rules", rules), ("near_duplicates", near_duplicates), ("secr
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
+        unstash(*done)
+        done = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,11 +2,12 @@
 
 N-grams are pairs of neighbouring words and pairs of neighbouring word shapes (runs of small letters, capitals and digits as
 one sign each, other signs as they are). Every n-gram is hashed to a bucket, none is left out or treated apart for being
-rare; the number of buckets is a power of two that follows the corpus's bytes (``BYTES`` of them for each bucket, ``MOST``
-buckets at most). Two smoothed multinomials over the buckets are counted on whole texts: the trusted target (documents whose
+rare; the number of buckets is a power of two that follows the square root of the corpus's bytes (``PER_ROOT`` buckets for each
+byte of the root, ``MOST`` at most), so that a task's own counts are never more rows than buckets. Two smoothed multinomials over the buckets are counted on whole texts: the trusted target (documents whose
 ids are given as trusted) and the raw corpus (all documents). A document's score is the mean over its n-grams of
-log(target / raw), its own n-grams left out of either count; one below ``THRESHOLD`` is rejected. The counts are a table
-whose rows hold the counts of 1024 buckets each; it is broadcast at every size, as ``MOST`` bounds it to 1 GB.
+log(target / raw), its own n-grams left out of either count; one below ``THRESHOLD`` is rejected. Texts are read once: the
+counted rules and each text's buckets with their counts are written, and counting and scoring read these. The corpus's counts
+are a table whose rows hold 1024 buckets each; it is broadcast at every size, as ``MOST`` bounds it to 1 GB.
 
 Defined cases: a null or blank text has no words and fails the base rules; with no trusted documents, an empty corpus or
 nothing left beside a document all its ratios are 0 and only the base rules decide; rows alike in text and trust are
@@ -15,6 +16,7 @@ scored alike; input columns named like a result column are replaced.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from rallyframe.llm.text import SPACES, words
 from rallyframe.plans.scratch import sized_join, stash
 
-#: Bytes of text for each bucket of n-grams; buckets at least and at most.
-BYTES, LEAST, MOST = 512, 1 << 12, 1 << 26
+#: Buckets of n-grams for each byte of the square root of the corpus's bytes; buckets at least and at most.
+PER_ROOT, LEAST, MOST = 8, 1 << 12, 1 << 26
 #: Bits of a bucket's number that are its place in a row of the table.
 ROW_BITS = 10
 #: Mean log ratio under which a document is rejected.
@@ -79,10 +81,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def counted(text: Column) -> Column:
-    """The counted rules of a text as a struct of ``BASE``."""
+def counted(text: Column, more: Callable[[Column], list[Column]] = lambda _: []) -> Column:
+    """The counted rules of a text as a struct of ``BASE``, and ``more`` made of the hashes of its pairs of neighbouring words."""
 
-    def rules(ws: Column, at: Column, lines: Column) -> Column:
+    def rules(ws: Column, pairs: Column, at: Column, lines: Column) -> Column:
         gaps = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.least(b - a, F.lit(3)))
         covered = F.when(at.isNull(), F.lit(0)).otherwise(F.aggregate(gaps, F.lit(3), lambda x, y: x + y)).cast("long")
         whole = F.coalesce(text, F.lit(""))
@@ -96,11 +98,12 @@ def counted(text: Column) -> Column:
                 (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
                 repeated.alias("n_repeat_words"),
                 ((n < 50) | (100 * repeated > 50 * n)).alias("base_failed"),
+                *more(pairs),
             ),
         )
 
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    return let(words(text), lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: let(_pairs(hs), lambda ps: let(_windows(hs, ps), lambda win: let(_seen_twice(win), lambda at: let(lines, lambda ls: rules(ws, at, ls)))))))
+    return let(words(text), lambda ws: let(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: let(_pairs(hs), lambda ps: let(_windows(hs, ps), lambda win: let(_seen_twice(win), lambda at: let(lines, lambda ls: rules(ws, ps, at, ls)))))))
 
 
 def _shaped(text: Column) -> Column:
@@ -110,11 +113,11 @@ def _shaped(text: Column) -> Column:
     return text
 
 
-def _grams(text: Column, buckets: int) -> Column:
-    """The bucket of each pair of neighbouring words and of each pair of neighbouring shapes."""
+def _grams(text: Column, pairs: Column, buckets: int) -> Column:
+    """The bucket of each pair of neighbouring words (by its hash) and of each pair of neighbouring shapes."""
     low = F.lit(buckets - 1).cast("long")
-    of_words = let(words(text), lambda ws: F.transform(_pairs(ws), lambda h: h.bitwiseAND(low)))
-    of_shapes = let(words(_shaped(text)), lambda ws: F.transform(_pairs(ws), lambda h: F.xxhash64(h).bitwiseAND(low)))
+    of_words = F.transform(pairs, lambda h: h.bitwiseAND(low).cast("int"))
+    of_shapes = let(words(_shaped(text)), lambda ws: F.transform(_pairs(ws), lambda h: F.xxhash64(h).bitwiseAND(low).cast("int")))
     return F.concat(of_words, of_shapes)
 
 
@@ -130,69 +133,72 @@ def _runs(values: Column) -> Column:
 
 @dataclass
 class Ratios:
-    """Counts of the buckets (__row, __raw and __target, an array of 2^ROW_BITS buckets each), how many buckets, the totals, and the trusted ids."""
+    """Counts of the buckets (__row, __raw and __target, an array of 2^ROW_BITS buckets each), how many buckets, and the totals."""
 
     counts: DataFrame
     buckets: int
     raw: int
     target: int
-    trusted: DataFrame
-    n_trusted: int
-    id_col: str
-
-    def flagged(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with __of: 1 for trusted rows, else null."""
-        return sized_join(docs, self.trusted, [self.id_col], "left", self.n_trusted)
 
 
 def bucket_count(size: int) -> int:
     """Buckets for a corpus of so many bytes."""
-    return min(MOST, max(LEAST, 1 << max(0, -(-size // BYTES) - 1).bit_length()))
+    return min(MOST, max(LEAST, 1 << max(0, math.isqrt(size) * PER_ROOT - 1).bit_length()))
+
 
+def featured(docs: DataFrame, trusted: DataFrame, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", more: list[str] | None = None) -> tuple[DataFrame, int]:
+    """A written table of ``docs`` (its columns ``more``, by default all but those that ``judge`` adds), and how many buckets it uses.
 
-def ratio_table(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ratios:
-    """The counts of ``docs``. trusted: ids (column ``id_col``) of the target's documents."""
+    Further columns: __id (unique), __of (1 for rows whose id is among ``trusted``, else 0), __v (the counted rules), __grams (each
+    bucket b of the text with its count k) and __n (n-grams).
+    """
+    left = [c for c in (docs.columns if more is None else more) if c not in (*BASE, "llr", "kept")]
+    n = buckets or bucket_count(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
     ids = trusted.select(id_col).distinct().withColumn("__of", F.lit(1))
-    n = bucket_count(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
-    out = Ratios(docs, n, 0, 0, ids, ids.count(), id_col)
-    grams = out.flagged(docs.select(id_col, text_col)).select(F.explode(_grams(F.col(text_col), n)).alias("__b"), "__of", F.lit(1).alias("__k"))
-    every = docs.sparkSession.range(n).select(F.col("id").alias("__b"), F.lit(None).cast("int").alias("__of"), F.lit(0).alias("__k"))  # also buckets that nothing is in
-    counts = grams.union(every).groupBy("__b").agg(F.sum("__k").alias("__raw"), F.count("__of").alias("__target"))
+    flagged = sized_join(docs.select(*{*left, text_col, id_col}), ids, [id_col], "left", ids.count())
+    text = F.col(text_col)
+    grams = lambda pairs: [let(_grams(text, pairs, n), lambda gs: F.struct(_runs(gs).alias("g"), F.size(gs).cast("long").alias("n"))).alias("grams")]
+    made = flagged.select(*left, F.coalesce("__of", F.lit(0)).alias("__of"), F.monotonically_increasing_id().alias("__id"), counted(text, grams).alias("__v"))
+    table = made.select(*left, "__of", "__id", F.struct(*[F.col(f"__v.{c}").alias(c) for c in BASE]).alias("__v"), F.col("__v.grams.g").alias("__grams"), F.col("__v.grams.n").alias("__n"))
+    return stash(table, "featured"), n
+
+
+def ratio_table(features: DataFrame, buckets: int) -> Ratios:
+    """The counts over all rows of a ``featured`` table."""
+    grams = features.select("__of", F.explode("__grams").alias("g")).select(F.col("g.b").cast("long").alias("__b"), F.col("g.k").alias("__k"), (F.col("g.k") * F.col("__of")).alias("__t"))
+    every = features.sparkSession.range(buckets).select(F.col("id").alias("__b"), F.lit(0).alias("__k"), F.lit(0).alias("__t"))  # also buckets that nothing is in
+    counts = grams.union(every).groupBy("__b").agg(F.sum("__k").alias("__raw"), F.sum("__t").alias("__target"))
     rows = counts.groupBy(F.shiftright("__b", ROW_BITS).alias("__row")).agg(F.sort_array(F.collect_list(F.struct("__b", "__raw", "__target"))).alias("c"))
     table = stash(rows.select("__row", F.col("c.__raw").alias("__raw"), F.col("c.__target").alias("__target")), "ratios")
     total = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y))
-    out.raw, out.target, most = table.agg(total("__raw"), total("__target"), F.max(F.array_max("__raw"))).first()
+    raw, target, most = table.agg(total("__raw"), total("__target"), F.max(F.array_max("__raw"))).first()
     kind = "array<int>" if most < 1 << 31 else "array<long>"
-    out.counts = table.select("__row", F.col("__raw").cast(kind).alias("__raw"), F.col("__target").cast(kind).alias("__target"))
-    return out
+    return Ratios(table.select("__row", F.col("__raw").cast(kind).alias("__raw"), F.col("__target").cast(kind).alias("__target")), buckets, raw, target)
 
 
-def scores(flagged: DataFrame, ratios: Ratios, text_col: str = "text", among: bool = True) -> DataFrame:
-    """llr of every different text with n-grams, by trust (__of, 0 or 1) and the text's two hashes (__t, __u)."""
-    own = flagged.select("__of", "__t", "__u", F.explode(let(_grams(F.col(text_col), ratios.buckets), lambda gs: let(F.size(gs).cast("long"), lambda n: F.transform(_runs(gs), lambda g: F.struct(g["b"].alias("b"), g["k"].alias("k"), n.alias("n")))))).alias("__g"))
-    own = own.select("__of", "__t", "__u", F.col("__g.b").alias("__b"), F.col("__g.k").alias("__k"), F.col("__g.n").alias("__n"))
-    met = own.join(F.broadcast(ratios.counts), F.shiftright("__b", ROW_BITS) == F.col("__row"))
-    place, less = F.col("__b").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).cast("int"), F.col("__k") if among else F.lit(0)
+def scores(features: DataFrame, ratios: Ratios, among: bool = True) -> DataFrame:
+    """(__id, llr) of every row with n-grams. among: whether the rows are among those counted, so that their own counts are left out."""
+    own = features.select("__of", "__id", "__n", F.explode("__grams").alias("g")).select("__of", "__id", "__n", F.col("g.b").alias("__b"), F.col("g.k").alias("__k"))
+    met = own.join(F.broadcast(ratios.counts), F.shiftright("__b", ROW_BITS).cast("long") == F.col("__row"))
+    place, less = F.col("__b").bitwiseAND(F.lit((1 << ROW_BITS) - 1)), F.col("__k") if among else F.lit(0)
     all_own = F.col("__n") if among else F.lit(0)
     raw, target = ratios.raw - all_own, ratios.target - all_own * F.col("__of")
     in_raw, in_target = F.get("__raw", place), F.get("__target", place)
-    ratio = F.log((in_target - less * F.col("__of") + SMOOTHING * target / raw) / (in_raw - less + SMOOTHING)) - F.log(target / raw)
+    # log(target / raw) of the bucket, less that of all: one logarithm of the four factors
+    ratio = F.log((in_target - less * F.col("__of") + SMOOTHING * target / raw) * raw / ((in_raw - less + SMOOTHING) * target))
     ratio = F.when((raw > 0) & (target > 0), ratio).otherwise(0.0)
-    sums = met.groupBy("__of", "__t", "__u", "__n").agg(F.sum("__k").alias("__all"), F.sum(F.col("__k") * ratio).alias("__sum"))
-    return sums.select("__of", "__t", "__u", (F.col("__sum") / F.col("__all")).alias("llr"))  # copies add to both sums alike
+    return met.groupBy("__id", "__n").agg(F.sum(F.col("__k") * ratio).alias("__sum")).select("__id", (F.col("__sum") / F.col("__n")).alias("llr"))
 
 
-def judge(docs: DataFrame, ratios: Ratios, text_col: str = "text", threshold: float = THRESHOLD, more: list[str] | None = None, among: bool = True) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, more: list[str] | None = None, ratios: Ratios | None = None) -> DataFrame:
     """Every row of ``docs`` with the columns of ``BASE``, llr (mean log ratio; null below two words) and kept.
 
-    ratios: a ``ratio_table``. more: the input columns to keep, by default all. among: whether ``docs`` are among the
-    documents that were counted, so that their own counts are left out.
+    trusted: ids (column ``id_col``) of the target's documents. more: the input columns to keep, by default all. ratios: counts of
+    another corpus; by default those of ``docs``, where a document's own counts are left out of its ratios.
     """
-    own = [*BASE, "llr", "kept"]
-    left = [c for c in (docs.columns if more is None else more) if c not in own]
-    flagged = ratios.flagged(docs.select(*{*left, text_col, ratios.id_col})).withColumn("__of", F.coalesce("__of", F.lit(0)))
-    flagged = flagged.withColumns({"__t": F.xxhash64(F.lit(1), text_col), "__u": F.xxhash64(F.lit(2), text_col)})
-    base = flagged.select(*left, "__of", "__t", "__u", counted(F.col(text_col)).alias("__v"))
-    judged = base.join(scores(flagged, ratios, text_col, among), ["__of", "__t", "__u"], "left")
+    features, n = featured(docs, trusted, ratios.buckets if ratios else None, id_col, text_col, more)
+    found = scores(features, ratios or ratio_table(features, n), among=ratios is None)
+    judged = features.drop("__of", "__grams", "__n").join(found, "__id", "left")
     kept = ~F.col("__v.base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False))
+    left = [c for c in features.columns if not c.startswith("__")]
     return judged.select(*left, *[F.col(f"__v.{c}").alias(c) for c in BASE], "llr", kept.alias("kept"))

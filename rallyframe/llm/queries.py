@@ -22,9 +22,7 @@ def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    ratios = quality_rules.ratio_table(docs, table(spark, folder, "labels").where("quality = 1"))
-    return quality_rules.judge(docs, ratios, more=["doc_id"])
+    return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels").where("quality = 1"), more=["doc_id"])
 
 
 def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:

@@ -114,8 +114,7 @@ def test_minhash_matches_brute_force(spark, docs):
 
 
 def test_quality_rules_match_brute_force(spark, docs):
-    ratios = quality_rules.ratio_table(docs, spark.createDataFrame([(9,)], "doc_id long"))
-    judged = quality_rules.judge(docs, ratios)
+    judged = quality_rules.judge(docs, spark.createDataFrame([(9,)], "doc_id long"))
     assert set(docs.columns) <= set(judged.columns)
     # a filter on the verdict moves down to the scan and must not repeat the work
     assert judged.where("kept").count() <= len(TEXTS)
@@ -125,16 +124,17 @@ def test_quality_rules_match_brute_force(spark, docs):
         cover = {k + j for k in range(len(w) - 2) for j in range(3) if c[tuple(w[k : k + 3])] > 1}
         lines = [x for x in (row.text or "").split("\n") if words(x)]
         assert (row.n_words, row.n_repeat_words, row.n_dup_lines, row.word_chars) == (len(w), len(cover), len(lines) - len(set(lines)), sum(map(len, w)))
-    none = quality_rules.ratio_table(docs.limit(0), spark.createDataFrame([], "doc_id long"))
-    assert quality_rules.judge(docs.limit(0), none).count() == 0
+    assert quality_rules.judge(docs.limit(0), spark.createDataFrame([], "doc_id long")).count() == 0
 
 
 def test_quality_ratios_leave_own_counts_out(spark):
     rows = [(i, " ".join(f"w{(i * 7 + j * j) % (40 + 9 * i)}" for j in range(30 + i))) for i in range(12)] + [(3, "W1 w1 w2"), (20, " ".join(f"Only{j}x-" for j in range(60))), (21, None), (22, "one"), (None, "w1 w2")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
     trusted = {0, 3, 4, 20}
-    ratios = quality_rules.ratio_table(table, spark.createDataFrame([(i,) for i in trusted], "doc_id long"))
-    assert ratios.buckets == quality_rules.LEAST and ratios.counts.count() == quality_rules.LEAST >> quality_rules.ROW_BITS
+    ids = spark.createDataFrame([(i,) for i in trusted], "doc_id long")
+    features, n = quality_rules.featured(table, ids)
+    ratios = quality_rules.ratio_table(features, n)
+    assert features.count() == len(rows) and ratios.buckets == quality_rules.LEAST and ratios.counts.count() == quality_rules.LEAST >> quality_rules.ROW_BITS
     # the n-grams themselves by plain words; their buckets by Spark's hash
     shape = lambda w: re.sub("[0-9]+", "0", re.sub("[A-Z]+", "A", re.sub("[a-z]+", "a", w)))
     grams = []
@@ -142,8 +142,8 @@ def test_quality_ratios_leave_own_counts_out(spark):
         w = words(r.text)
         grams.append((r.doc_id, r.text, [(0, a, b) for a, b in zip(w, w[1:])] + [(1, shape(a), shape(b)) for a, b in zip(w, w[1:])]))
     every = sorted({g for _, _, gs in grams for g in gs})
-    pair = F.xxhash64("a", "b")
-    hashed = spark.createDataFrame(every, "kind int, a string, b string").select("kind", "a", "b", F.pmod(F.when(F.col("kind") == 0, pair).otherwise(F.xxhash64(pair)), F.lit(ratios.buckets)).alias("h"))
+    by_word, pair = F.xxhash64(F.xxhash64("a"), F.xxhash64("b")), F.xxhash64("a", "b")
+    hashed = spark.createDataFrame(every, "kind int, a string, b string").select("kind", "a", "b", F.pmod(F.when(F.col("kind") == 0, by_word).otherwise(F.xxhash64(pair)), F.lit(ratios.buckets)).alias("h"))
     bucket = {(r.kind, r.a, r.b): r.h for r in hashed.collect()}
     grams = [(i, text, [bucket[g] for g in gs]) for i, text, gs in grams]
     raw, target = Counter(), Counter()
@@ -151,7 +151,7 @@ def test_quality_ratios_leave_own_counts_out(spark):
         raw.update(g)
         target.update(g if i in trusted else [])
     assert (ratios.raw, ratios.target) == (raw.total(), target.total())
-    got = {(r.doc_id, r.text): r for r in quality_rules.judge(table, ratios).collect()}
+    got = {(r.doc_id, r.text): r for r in quality_rules.judge(table, ids).collect()}
     assert len(got) == len(rows)
     for i, text, g in grams:
         of, k, r = i in trusted, Counter(g), got[i, text]
@@ -163,11 +163,18 @@ def test_quality_ratios_leave_own_counts_out(spark):
 
 
 def test_quality_buckets_follow_the_corpus(spark):
-    assert [quality_rules.bucket_count(n) for n in (0, 1 << 21, (1 << 22) + 1, 1 << 33, 1 << 60)] == [1 << 12, 1 << 12, 1 << 14, 1 << 24, quality_rules.MOST]
+    assert [quality_rules.bucket_count(n) for n in (0, 1 << 18, (1 << 20) + 3000, 1 << 34, 1 << 60)] == [1 << 12, 1 << 12, 1 << 14, 1 << 20, quality_rules.MOST]
     table = spark.range(4000).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 99), i -> concat('w', (id % 50) * 100 + i)), ' ') AS text")
-    many, few = (quality_rules.ratio_table(t, t.limit(5)) for t in (table.withColumn("text", F.repeat("text", 20)), table.limit(10)))
-    assert (many.buckets, few.buckets) == (1 << 17, 1 << 12) and (few.raw, few.target) == (10 * 198, 5 * 198)
+    found = []
+    for docs in (table.withColumn("text", F.repeat("text", 20)), table.limit(10)):
+        features, n = quality_rules.featured(docs, docs.limit(5))
+        found.append(quality_rules.ratio_table(features, n))
+    many, few = found
+    assert (many.buckets, few.buckets) == (1 << 16, 1 << 12) and (few.raw, few.target) == (10 * 198, 5 * 198)
     assert few.counts.select(F.sum(F.aggregate("__raw", F.lit(0).cast("long"), lambda x, y: x + y))).first()[0] == few.raw
+    # other documents against these counts: nothing of their own is left out
+    other = quality_rules.judge(table.limit(3), table.limit(0), ratios=few).collect()
+    assert len(other) == 3 and all(abs(r.llr) < 0.5 for r in other)
 
 
 def test_quality_rules_reject_junk_and_keep_clean(spark):
