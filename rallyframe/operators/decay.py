@@ -27,7 +27,8 @@ def moments_before(days: DataFrame, keys: list[str], day: str, half_lives: dict[
     n, at = F.coalesce(F.col(f"{name}n"), F.lit(0)), F.unix_date(F.col(day))
     every = [*keys, *(more or [])]
     whole = Window.partitionBy(*every)
-    center = F.coalesce(F.try_divide(F.sum(F.col(f"{name}mean") * n).over(whole), F.sum(n).over(whole)), F.lit(0.0))  # where sums are least in size; any would do
+    # sums are taken around the key's first mean, which no earlier day than its own uses
+    center = F.coalesce(F.first(f"{name}mean", ignorenulls=True).over(whole.orderBy(at).rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0.0))
     off = F.coalesce(F.col(f"{name}mean") - F.col("__c"), F.lit(0.0))
     out = days.withColumn("__c", center).withColumns({"__n": n.cast("double"), "__x": n * off, "__xx": F.coalesce(F.col(f"{name}m2"), F.lit(0.0)) + n * off * off})
     out = out.withColumn("__before", F.coalesce(F.sum(n).over(whole.orderBy(at).rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)))

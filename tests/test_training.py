@@ -41,7 +41,7 @@ def test_decayed_moments_equal_brute_force(spark, half_lives):
 def test_decayed_moments_without_values(spark):
     df = spark.createDataFrame([("a", DAY0, None), ("a", DAY0 + dt.timedelta(days=1), 3.0)], "k string, day date, v double")
     rows = decay.moments_before(decay.daily(df, ["k"], "day", F.col("v")), ["k"], "day", {"m": 5.0}).select("m", decay.with_prior(F.col("m"), 0.4, 6.0).alias("p")).collect()
-    assert all(r["m"]["n"] == 0 and r["m"]["mean"] is None and r["m"]["ess"] is None and r["p"] == 0.4 for r in rows)
+    assert all(r["m"]["n"] == 0 and r["m"]["mean"] is None and r["m"]["ess"] is None and r["p"] == pytest.approx(0.4) for r in rows)
     assert decay.moments_before(decay.daily(df.limit(0), ["k"], "day", F.col("v")), ["k"], "day", {"m": 5.0}).count() == 0
 
 
