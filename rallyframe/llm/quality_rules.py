@@ -113,22 +113,16 @@ def _shaped(text: Column) -> Column:
     return text
 
 
-def _grams(text: Column, pairs: Column, buckets: int) -> Column:
-    """The bucket of each pair of neighbouring words (by its hash) and of each pair of neighbouring shapes."""
+def _runs(values: Column, buckets: int) -> Column:
+    """(b, k): the bucket of each different hash and how often it occurs."""
     low = F.lit(buckets - 1).cast("long")
-    of_words = F.transform(pairs, lambda h: h.bitwiseAND(low).cast("int"))
-    of_shapes = let(words(_shaped(text)), lambda ws: F.transform(_pairs(ws), lambda h: F.xxhash64(h).bitwiseAND(low).cast("int")))
-    return F.concat(of_words, of_shapes)
-
-
-def _runs(values: Column) -> Column:
-    """(b, k): each different value and how often it occurs."""
 
     def bound(own: Column) -> Column:
-        starts = F.filter(F.transform(own, lambda x, i: F.when((i == 0) | (x != F.get(own, i - 1)), i)), F.isnotnull)
-        return let(starts, lambda at: F.zip_with(at, F.slice(at, 2, F.size(at)), lambda i, j: F.struct(F.get(own, i).alias("b"), (F.coalesce(j, F.size(own)) - i).alias("k"))))
+        starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i) != F.get(own, i - 1)))
+        return let(starts, lambda at: F.zip_with(at, F.slice(at, 2, F.size(at)), lambda i, j: F.struct(F.get(own, i).bitwiseAND(low).cast("int").alias("b"), (F.coalesce(j, F.size(own)) - i).alias("k"))))
 
-    return let(F.sort_array(values), bound)
+    none = F.array().cast("array<struct<b:int,k:int>>")
+    return F.when(F.size(values) == 0, none).otherwise(let(F.sort_array(values), bound))
 
 
 @dataclass
@@ -149,15 +143,16 @@ def bucket_count(size: int) -> int:
 def featured(docs: DataFrame, trusted: DataFrame, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", more: list[str] | None = None) -> tuple[DataFrame, int]:
     """A written table of ``docs`` (its columns ``more``, by default all but those that ``judge`` adds), and how many buckets it uses.
 
-    Further columns: __id (unique), __of (1 for rows whose id is among ``trusted``, else 0), __v (the counted rules), __grams (each
-    bucket b of the text with its count k) and __n (n-grams).
+    Further columns: __id (unique), __of (1 for rows whose id is among ``trusted``, else 0), __v (the counted rules), __grams (of each
+    n-gram of the text its bucket b and count k) and __n (n-grams).
     """
     left = [c for c in (docs.columns if more is None else more) if c not in (*BASE, "llr", "kept")]
     n = buckets or bucket_count(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
     ids = trusted.select(id_col).distinct().withColumn("__of", F.lit(1))
     flagged = sized_join(docs.select(*{*left, text_col, id_col}), ids, [id_col], "left", ids.count())
     text = F.col(text_col)
-    grams = lambda pairs: [let(_grams(text, pairs, n), lambda gs: F.struct(_runs(gs).alias("g"), F.size(gs).cast("long").alias("n"))).alias("grams")]
+    shapes = let(words(_shaped(text)), _pairs)
+    grams = lambda pairs: [let(F.concat(pairs, shapes), lambda hs: F.struct(_runs(hs, n).alias("g"), F.size(hs).cast("long").alias("n"))).alias("grams")]
     made = flagged.select(*left, F.coalesce("__of", F.lit(0)).alias("__of"), F.monotonically_increasing_id().alias("__id"), counted(text, grams).alias("__v"))
     table = made.select(*left, "__of", "__id", F.struct(*[F.col(f"__v.{c}").alias(c) for c in BASE]).alias("__v"), F.col("__v.grams.g").alias("__grams"), F.col("__v.grams.n").alias("__n"))
     return stash(table, "featured"), n

@@ -143,20 +143,19 @@ def test_quality_ratios_leave_own_counts_out(spark):
         grams.append((r.doc_id, r.text, [(0, a, b) for a, b in zip(w, w[1:])] + [(1, shape(a), shape(b)) for a, b in zip(w, w[1:])]))
     every = sorted({g for _, _, gs in grams for g in gs})
     by_word, pair = F.xxhash64(F.xxhash64("a"), F.xxhash64("b")), F.xxhash64("a", "b")
-    hashed = spark.createDataFrame(every, "kind int, a string, b string").select("kind", "a", "b", F.pmod(F.when(F.col("kind") == 0, by_word).otherwise(F.xxhash64(pair)), F.lit(ratios.buckets)).alias("h"))
+    hashed = spark.createDataFrame(every, "kind int, a string, b string").select("kind", "a", "b", F.pmod(F.when(F.col("kind") == 0, by_word).otherwise(pair), F.lit(ratios.buckets)).alias("h"))
     bucket = {(r.kind, r.a, r.b): r.h for r in hashed.collect()}
-    grams = [(i, text, [bucket[g] for g in gs]) for i, text, gs in grams]
     raw, target = Counter(), Counter()
     for i, _, g in grams:
-        raw.update(g)
-        target.update(g if i in trusted else [])
+        raw.update(bucket[x] for x in g)
+        target.update([bucket[x] for x in g] if i in trusted else [])
     assert (ratios.raw, ratios.target) == (raw.total(), target.total())
     got = {(r.doc_id, r.text): r for r in quality_rules.judge(table, ids).collect()}
     assert len(got) == len(rows)
     for i, text, g in grams:
         of, k, r = i in trusted, Counter(g), got[i, text]
         n, t = raw.total() - len(g), target.total() - of * len(g)
-        each = [np.log((target[b] - of * k[b] + quality_rules.SMOOTHING * t / n) / (raw[b] - k[b] + quality_rules.SMOOTHING)) - np.log(t / n) for b in g]
+        each = [np.log((target[bucket[x]] - of * k[x] + quality_rules.SMOOTHING * t / n) / (raw[bucket[x]] - k[x] + quality_rules.SMOOTHING)) - np.log(t / n) for x in g]
         assert r.llr == (pytest.approx(np.mean(each), abs=1e-9) if g else None)
         assert r.kept == (not r.base_failed and r.llr is not None and r.llr >= quality_rules.THRESHOLD)
         assert r.n_symbols == len(re.findall(r"[#*$%&|<>]", text or "")) and r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
