@@ -319,4 +319,4 @@ def s2(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # the other query modules register theirs on import
-from rallyframe import queries_evidence, queries_history, queries_linkage, queries_platform, queries_reports, queries_rules, queries_selection, queries_significance, queries_training  # noqa: E402, F401
+from rallyframe import queries_evidence, queries_history, queries_linkage, queries_platform, queries_reports, queries_rules, queries_selection, queries_significance, queries_training, queries_upkeep  # noqa: E402, F401
