@@ -125,6 +125,23 @@ def _runs(values: Column, buckets: int) -> Column:
     return F.when(F.size(values) == 0, none).otherwise(let(F.sort_array(values), bound))
 
 
+def _once_and_often(pairs: Column, shapes: Column, buckets: int) -> Column:
+    """A struct of once (the bucket of each hash that occurs once), often (b and k of the others) and n (all occurrences).
+
+    Pairs of words mostly occur once, and are told apart by set operations; pairs of shapes hardly ever do.
+    """
+    low = F.lit(buckets - 1).cast("long")
+
+    def split(own: Column) -> Column:
+        # every occurrence of a hash but its first
+        again = F.array_compact(F.zip_with(F.slice(own, 2, F.size(own)), own, lambda b, a: F.when(a == b, b)))
+        return let(again, lambda more: F.struct(F.transform(F.array_except(own, more), lambda h: h.bitwiseAND(low).cast("int")).alias("once"), F.transform(_runs(more, buckets), lambda r: F.struct(r["b"].alias("b"), (r["k"] + 1).alias("k"))).alias("often")))
+
+    words_ = F.when(F.size(pairs) > 0, let(F.sort_array(pairs), split))
+    none = F.array().cast("array<int>")
+    return let(words_, lambda w: F.struct(F.coalesce(w["once"], none).alias("once"), F.concat(F.coalesce(w["often"], F.array().cast("array<struct<b:int,k:int>>")), _runs(shapes, buckets)).alias("often"), (F.size(pairs) + F.size(shapes)).cast("long").alias("n")))
+
+
 @dataclass
 class Ratios:
     """Counts of the buckets (__row, __raw and __target, an array of 2^ROW_BITS buckets each), how many buckets, and the totals."""
@@ -143,8 +160,8 @@ def bucket_count(size: int) -> int:
 def featured(docs: DataFrame, trusted: DataFrame, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", more: list[str] | None = None) -> tuple[DataFrame, int]:
     """A written table of ``docs`` (its columns ``more``, by default all but those that ``judge`` adds), and how many buckets it uses.
 
-    Further columns: __id (unique), __of (1 for rows whose id is among ``trusted``, else 0), __v (the counted rules), __grams (of each
-    n-gram of the text its bucket b and count k) and __n (n-grams).
+    Further columns: __id (unique), __of (1 for rows whose id is among ``trusted``, else 0), __v (the counted rules), __once and __often
+    (the buckets of the n-grams that the text holds once, and b and k of the others) and __n (n-grams).
     """
     left = [c for c in (docs.columns if more is None else more) if c not in (*BASE, "llr", "kept")]
     n = buckets or bucket_count(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
@@ -152,15 +169,22 @@ def featured(docs: DataFrame, trusted: DataFrame, buckets: int | None = None, id
     flagged = sized_join(docs.select(*{*left, text_col, id_col}), ids, [id_col], "left", ids.count())
     text = F.col(text_col)
     shapes = let(words(_shaped(text)), _pairs)
-    grams = lambda pairs: [let(F.concat(pairs, shapes), lambda hs: F.struct(_runs(hs, n).alias("g"), F.size(hs).cast("long").alias("n"))).alias("grams")]
+    grams = lambda pairs: [let(shapes, lambda hs: _once_and_often(pairs, hs, n)).alias("grams")]
     made = flagged.select(*left, F.coalesce("__of", F.lit(0)).alias("__of"), F.monotonically_increasing_id().alias("__id"), counted(text, grams).alias("__v"))
-    table = made.select(*left, "__of", "__id", F.struct(*[F.col(f"__v.{c}").alias(c) for c in BASE]).alias("__v"), F.col("__v.grams.g").alias("__grams"), F.col("__v.grams.n").alias("__n"))
+    table = made.select(*left, "__of", "__id", F.struct(*[F.col(f"__v.{c}").alias(c) for c in BASE]).alias("__v"), F.col("__v.grams.once").alias("__once"), F.col("__v.grams.often").alias("__often"), F.col("__v.grams.n").alias("__n"))
     return stash(table, "featured"), n
 
 
+def _exploded(features: DataFrame, *columns: str) -> DataFrame:
+    """A row (``columns``, __b, __k) for each n-gram of each row."""
+    once = features.select(*columns, F.explode("__once").alias("__b"), F.lit(1).alias("__k"))
+    often = features.select(*columns, F.explode("__often").alias("g")).select(*columns, F.col("g.b").alias("__b"), F.col("g.k").alias("__k"))
+    return once.union(often)
+
+
 def ratio_table(features: DataFrame, buckets: int) -> Ratios:
     """The counts over all rows of a ``featured`` table."""
-    grams = features.select("__of", F.explode("__grams").alias("g")).select(F.col("g.b").cast("long").alias("__b"), F.col("g.k").alias("__k"), (F.col("g.k") * F.col("__of")).alias("__t"))
+    grams = _exploded(features, "__of").select(F.col("__b").cast("long").alias("__b"), "__k", (F.col("__k") * F.col("__of")).alias("__t"))
     every = features.sparkSession.range(buckets).select(F.col("id").alias("__b"), F.lit(0).alias("__k"), F.lit(0).alias("__t"))  # also buckets that nothing is in
     counts = grams.union(every).groupBy("__b").agg(F.sum("__k").alias("__raw"), F.sum("__t").alias("__target"))
     rows = counts.groupBy(F.shiftright("__b", ROW_BITS).alias("__row")).agg(F.sort_array(F.collect_list(F.struct("__b", "__raw", "__target"))).alias("c"))
@@ -173,8 +197,7 @@ def ratio_table(features: DataFrame, buckets: int) -> Ratios:
 
 def scores(features: DataFrame, ratios: Ratios, among: bool = True) -> DataFrame:
     """(__id, llr) of every row with n-grams. among: whether the rows are among those counted, so that their own counts are left out."""
-    own = features.select("__of", "__id", "__n", F.explode("__grams").alias("g")).select("__of", "__id", "__n", F.col("g.b").alias("__b"), F.col("g.k").alias("__k"))
-    met = own.join(F.broadcast(ratios.counts), F.shiftright("__b", ROW_BITS).cast("long") == F.col("__row"))
+    met = _exploded(features, "__of", "__id", "__n").join(F.broadcast(ratios.counts), F.shiftright("__b", ROW_BITS).cast("long") == F.col("__row"))
     place, less = F.col("__b").bitwiseAND(F.lit((1 << ROW_BITS) - 1)), F.col("__k") if among else F.lit(0)
     all_own = F.col("__n") if among else F.lit(0)
     raw, target = ratios.raw - all_own, ratios.target - all_own * F.col("__of")
@@ -193,7 +216,7 @@ def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     """
     features, n = featured(docs, trusted, ratios.buckets if ratios else None, id_col, text_col, more)
     found = scores(features, ratios or ratio_table(features, n), among=ratios is None)
-    judged = features.drop("__of", "__grams", "__n").join(found, "__id", "left")
+    judged = features.drop("__of", "__once", "__often", "__n").join(found, "__id", "left")
     kept = ~F.col("__v.base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False))
     left = [c for c in features.columns if not c.startswith("__")]
     return judged.select(*left, *[F.col(f"__v.{c}").alias(c) for c in BASE], "llr", kept.alias("kept"))
