@@ -103,7 +103,7 @@ def test_similar_names_equal_all_pairs(spark):
 
 def test_latin_forms(spark):
     got = spark.createDataFrame([("Щукин  Юрий",), ("Ελένη",), (" Åsa-Łódź ",), (None,)], "n string").select(evidence.latin(F.col("n")).alias("f")).collect()
-    assert [r["f"] for r in got] == ["shchukin yuriy".replace("yuriy", "yurii"), "eleni", "asa lodz", ""] or got[0]["f"] == "shchukin yurii"
+    assert [r["f"] for r in got] == ["shchukin yurii", "eleni", "asa lodz", ""]
 
 
 def test_context_merge_is_idempotent(spark):
@@ -142,8 +142,7 @@ def test_stream_and_batch_fire_alike_and_once(spark, tmp_path):
     schema = "pick int, ts timestamp, kind string, value double"
     picks = spark.createDataFrame([(k,) for k in range(0, 20, 2)], "pick int")
     events = spark.createDataFrame(rows, schema)
-    for part in range(2):
-        events.where(F.col("ts") < F.lit(start + dt.timedelta(minutes=100))).write.mode("overwrite").parquet(str(tmp_path / "in")) if part == 0 else None
+    events.where(F.col("ts") < F.lit(start + dt.timedelta(minutes=100))).write.parquet(str(tmp_path / "in"))
     want = {tuple(r) for r in live.fired(live.scan(events, picks, "pick", "ts", RULES), "pick", "ts").select("signal", "pick", "rule").collect()}
 
     def run(checkpoint):
