@@ -18,8 +18,11 @@ ORACLE_SQL = None
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the trusted target is what ``labels`` marks as of quality."""
-    return quality_rules.judge(docs, table(spark, sf_dir, "labels").where("quality = 1")).where("kept").select(*docs.columns)
+    """Documents that the quality rules keep; the trusted target is what ``labels`` marks as of quality. Verdicts are by id and text."""
+    marked = docs.withColumn("__text", F.xxhash64("text"))
+    verdicts = quality_rules.judge(marked, table(spark, sf_dir, "labels").where("quality = 1"), more=["doc_id", "__text"], written=True)
+    keys = verdicts.where("kept").select(F.col("doc_id").alias("__i"), F.col("__text").alias("__t")).distinct()
+    return marked.join(keys, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__text") == F.col("__t")), "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rallyframe.llm.text import SPACES, words
-from rallyframe.plans.scratch import sized_join, stash
+from rallyframe.plans.scratch import sized_join, stash, unstash
 
 #: Buckets of n-grams for each byte of the square root of the corpus's bytes; buckets at least and at most.
 PER_ROOT, LEAST, MOST = 8, 1 << 12, 1 << 26
@@ -208,15 +208,21 @@ def scores(features: DataFrame, ratios: Ratios, among: bool = True) -> DataFrame
     return met.groupBy("__id", "__n").agg(F.sum(F.col("__k") * ratio).alias("__sum")).select("__id", (F.col("__sum") / F.col("__n")).alias("llr"))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, more: list[str] | None = None, ratios: Ratios | None = None) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, more: list[str] | None = None, ratios: Ratios | None = None, written: bool = False) -> DataFrame:
     """Every row of ``docs`` with the columns of ``BASE``, llr (mean log ratio; null below two words) and kept.
 
     trusted: ids (column ``id_col``) of the target's documents. more: the input columns to keep, by default all. ratios: counts of
-    another corpus; by default those of ``docs``, where a document's own counts are left out of its ratios.
+    another corpus; by default those of ``docs``, where a document's own counts are left out of its ratios. written: write the
+    result at once and delete the tables that it was made from.
     """
     features, n = featured(docs, trusted, ratios.buckets if ratios else None, id_col, text_col, more)
-    found = scores(features, ratios or ratio_table(features, n), among=ratios is None)
+    counts = ratios or ratio_table(features, n)
+    found = scores(features, counts, among=ratios is None)
     judged = features.drop("__of", "__once", "__often", "__n").join(found, "__id", "left")
     kept = ~F.col("__v.base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False))
-    left = [c for c in features.columns if not c.startswith("__")]
-    return judged.select(*left, *[F.col(f"__v.{c}").alias(c) for c in BASE], "llr", kept.alias("kept"))
+    left = [c for c in features.columns if c not in ("__of", "__id", "__v", "__once", "__often", "__n")]
+    out = judged.select(*left, *[F.col(f"__v.{c}").alias(c) for c in BASE], "llr", kept.alias("kept"))
+    if written:
+        out = stash(out, "judged")
+        unstash(features, *([] if ratios else [counts.counts]))
+    return out

@@ -138,3 +138,15 @@ def test_numbers_over_ranges(spark):
     got = {r["k"]: r["n"] for r in ranges.numbered(spark.createDataFrame(rows, "k int, v int"), "v", [F.col("k")], "n").collect()}
     order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
     assert got == {k: n for n, (k, _) in enumerate(order, 1)}
+
+
+def test_one_busy_key_stays_linear(spark):
+    """A million rows of one key over 500 days: histories and decayed sums are made per day, 500 rows, not per row."""
+    from rallyframe.operators import history
+
+    rows = spark.range(1_000_000).select(F.col("id"), F.lit("k").alias("k"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 500).cast("int")).alias("day"), (F.col("id") % 11).cast("double").alias("v"))
+    recent = history.recent(rows, ["k"], "day", "id", ["v"])
+    assert recent.select(F.count("*"), F.min(F.size("recent")), F.max(F.size("recent"))).first()[:] == (500, 0, 80)
+    days = decay.moments_before(decay.daily(rows, ["k"], "day", F.col("v")), ["k"], "day", {"m": 30.0})
+    n, last = days.select(F.count("*"), F.max("m.n")).first()
+    assert (n, last) == (500, 998_000)
