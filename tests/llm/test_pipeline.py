@@ -19,8 +19,10 @@ FOLDER = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def stages(spark):
-    """The input and the rows of each stage, each worked out from the one before."""
-    tables = [spark.read.parquet(f"{FOLDER}/documents.parquet")]
+    """The input, with a secret in every ninth text, and the rows of each stage, each worked out from the one before."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    secret = F.concat("text", F.lit(' and then secret = "'), F.sha1(F.col("doc_id").cast("string")), F.lit('" was set'))
+    tables = [stash(docs.withColumn("text", F.when(F.col("doc_id") % 9 == 0, secret).otherwise(F.col("text"))), "test-documents")]
     for name, stage in corpus_pipeline.STAGES:
         tables.append(stash(stage(spark, tables[-1], FOLDER), f"test-{name}"))
     return tables
@@ -119,7 +121,8 @@ def test_packing_is_whole_and_gapless(stages):
 
 
 def test_run_gives_the_last_stage(spark, stages):
-    got = corpus_pipeline.run(spark, FOLDER)
+    got, last = corpus_pipeline.run(spark, FOLDER), spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        last = stage(spark, last, FOLDER)
     key = lambda df: Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in df.collect())
-    assert key(got) == key(stages[5])
-    assert got.select("sequence_id").distinct().count() == stages[5].select("sequence_id").distinct().count()
+    assert key(got) == key(last) and got.count() > 0
