@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rallyframe.functions import stats, text
-from rallyframe.operators import joins, rows, selection
+from rallyframe.operators import joins, linkage, rows, selection
 from rallyframe.sources import snapshots
 from rallyframe.streaming import peaks
 
@@ -139,3 +139,14 @@ def test_merges_on_edge_cases(spark):
     twice = gates.swap_sides(gates.swap_sides(a.withColumn("w", F.lit("y")), [("v", "w")]), [("v", "w")])
     assert {tuple(r) for r in twice.collect()} == {(1, "x", "y"), (2, None, "y")}
     assert gates.sample_weights(spark.createDataFrame([], "day date"), "day", F.current_date(), 30).count() == 0
+
+
+def test_pairs_of_a_dense_step_are_spread(spark):
+    # 400 rows in one step, 40 in the next, some beyond, a null
+    values = [(k, "x", 10.0 + (k % 7) / 2) for k in range(400)] + [(k, "x", 15.0 + (k % 9) / 2) for k in range(400, 440)] + [(440, "x", 40.0), (441, "y", 11.0), (442, "x", None)]
+    df = spark.createDataFrame(values, "id long, bucket string, v double")
+    found = linkage.pairs_in_bucket(df, ["bucket"], "id", "v", 5.0, block=50).withColumn("at", F.spark_partition_id()).collect()
+    meant = {(a, b) for a, p, x in values for b, q, y in values if a < b and p == q and x is not None and y is not None and abs(x - y) <= 5}
+    assert len(found) == len(meant) and {(r.a, r.b) for r in found} == meant
+    tasks = [sum(r["at"] == k for r in found) for k in {r["at"] for r in found}]
+    assert len(tasks) >= 4 and max(tasks) < 0.5 * len(meant)
