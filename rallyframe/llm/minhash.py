@@ -5,8 +5,9 @@ signature. A tree's root holds all classes; a node chooses each of the first ``P
 1 / (threshold * places), the same for all its classes, and a class moves to the child named by its value there:
 1 / threshold children on average. Pairs at the threshold stay together with one child expected a level. Nodes of at most
 ``small`` classes are compared exhaustively; larger ones branch again, and those still large after ``DEPTH`` levels are
-compared in blocks of ``block`` classes, so nothing is capped. ``TREES`` independent trees give the recall (over 0.997 at
-the threshold for nodes that branch up to three times, far higher for nodes that need not).
+compared in blocks of ``block`` classes, each pair of blocks once for all nodes and trees, so nothing is capped. ``TREES``
+independent trees give the recall (over 0.997 at the threshold for nodes that branch up to three times, far higher for
+nodes that need not).
 
 Dense groups never emit their pairs. The first trees compare each node's classes with one pivot; what these links connect
 is one component and is not compared again, and nodes that hold one component drop out. In the other nodes signatures
@@ -236,27 +237,26 @@ def _linked(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Da
             yield pd.DataFrame(out, columns=["a", "b"])
 
 
-def _blocks(large: DataFrame, block: int) -> DataFrame:
-    """Large nodes (node, c, label, ...) as block pairs: unit and side.
+def _blocks(large: DataFrame, sig: DataFrame, block: int) -> DataFrame:
+    """Large nodes (node, size, c, label, wide, ...) as pairs of blocks: unit and side.
 
-    Rows of a node's most frequent component only meet the node's other rows, which also meet each other; so the
-    work grows with the rows of the other components.
+    A class has one block, of the largest node that holds it, whatever other nodes and trees hold it too. Two blocks meet once
+    if any node holds classes of both, so alike nodes of many trees are compared once. A node's most frequent component has
+    blocks of its own, which do not meet each other; so the work grows with the rows of the other components.
     """
-    per = large.groupBy("node", "label").agg(F.count("*").alias("n"))
-    lead = per.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("lead"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    rows = large.join(stash(lead, "lead"), "node").withColumn("own", F.col("label") == F.col("lead"))
-    parts = lambda n: F.ceil(n / block).cast("int")
-    rest = parts(F.col("all") - F.col("most"))
-    at = F.pmod(F.xxhash64("c"), F.when(F.col("own"), parts(F.col("most"))).otherwise(rest)).cast("int")
-    rows = rows.withColumn("at", at)
-    met = F.concat(
-        F.transform(F.sequence(F.lit(0), rest - 1), lambda k: F.struct(F.when(F.col("own"), -1).otherwise(F.greatest(k, "at")).alias("x"), F.when(F.col("own"), k).otherwise(F.least(k, "at")).alias("y"),
-            F.when(F.col("own"), 1).when(k == F.col("at"), 2).when(F.col("at") < k, 0).otherwise(1).alias("side"))),
-        F.when(F.col("own"), F.array().cast("array<struct<x:int,y:int,side:int>>")).otherwise(F.transform(F.sequence(F.lit(0), parts(F.col("most")) - 1), lambda k: F.struct((-1 - k).alias("x"), F.col("at").alias("y"), F.lit(0).alias("side")))),
-    )
-    # a lead row names its own block in the pair's first place
-    cells = rows.withColumn("m", F.explode(met)).withColumn("x", F.when(F.col("own"), -1 - F.col("at")).otherwise(F.col("m.x")))
-    return cells.select(F.xxhash64("node", "x", "m.y").alias("unit"), "c", "label", "sig", F.col("m.side").alias("side"), "tree", "wide")
+    rows = large.select("node", "c", "label", "wide", F.max(F.struct("size", "node")).over(Window.partitionBy("c"))["node"].alias("home"))
+    per = rows.where("node = home").groupBy("home", "label").agg(F.count("*").alias("n"))
+    lead = per.groupBy("home").agg(F.max_by("label", F.struct("n", "label")).alias("lead"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    rows = rows.join(stash(lead, "lead"), "home").withColumn("own", F.col("label") == F.col("lead"))
+    parts = F.ceil(F.when(F.col("own"), F.col("most")).otherwise(F.col("all") - F.col("most")) / block)
+    rows = rows.withColumn("at", F.xxhash64("home", "own", F.pmod(F.xxhash64("c"), parts).cast("int")))
+    held = stash(rows.select("node", "at", F.when(F.col("own"), F.col("lead")).alias("sole")).distinct(), "blocks")
+    x, y = held.withColumnsRenamed({"at": "x", "sole": "sole_x"}), held.withColumnsRenamed({"at": "y", "sole": "sole_y"})
+    met = x.join(y, "node").where("x <= y and not coalesce(sole_x = sole_y, false)").select("x", "y").distinct()
+    side = lambda at, n: F.struct(F.col(at).alias("at"), F.lit(n).alias("side"))
+    sides = met.select(F.xxhash64("x", "y").alias("unit"), F.explode(F.when(F.col("x") == F.col("y"), F.array(side("x", 2))).otherwise(F.array(side("x", 0), side("y", 1)))).alias("m")).select("unit", "m.*")
+    members = rows.where("node = home").select("c", "label", "wide", "at").join(sig, "c")
+    return members.join(stash(sides, "sides"), "at").select("unit", "c", "label", "sig", "side", F.lit(0).alias("tree"), "wide")
 
 
 def _labelled(docs: DataFrame, width: int, threshold: float, id_col: str, text_col: str, small: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -321,7 +321,7 @@ def _labelled(docs: DataFrame, width: int, threshold: float, id_col: str, text_c
             nodes = stash(large.select("tree", "node", "c", "sig").mapInPandas(lambda it: _next(it, threshold), "tree int, node long, c long"), "nodes")
             done.append(nodes)
         else:  # exact way for the rest
-            levels.append(_blocks(large, block).withColumn("deep", F.lit(True)))
+            levels.append(_blocks(large, deeper, block).withColumn("deep", F.lit(True)))
     met = reduce(DataFrame.unionByName, levels).repartition(spread, "unit").sortWithinPartitions("unit", "c")
     likely = stash(met.mapInPandas(lambda it: _partners(it, threshold, small), "unit long, c long, label long, side int"), "likely")
     whole = components(links.union(linked(likely)))

@@ -420,3 +420,20 @@ def test_pre_token_ids_equal_the_tokenizers():
     for _ in range(5000):
         text = "".join(draw.choices(parts, k=draw.randint(0, 9)))
         assert ids.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+
+
+def test_blocks_of_alike_nodes_meet_once(spark):
+    # ten trees hold the same 300 classes in a node each, but for a few; 60 classes are one component
+    label = lambda c: 0 if c < 60 else c
+    nodes = {node: [c for c in range(300) if c % 50 != node] for node in range(10)}
+    rows = [(node, len(held), node, c, label(c), 0) for node, held in nodes.items() for c in held]
+    large = spark.createDataFrame(rows, "node long, size long, tree int, c long, label long, wide long")
+    sig = spark.createDataFrame([(c, b"s") for c in range(300)], "c long, sig binary")
+    cells = minhash._blocks(large, sig, 50).select("unit", "c", "side").collect()
+    units = {}
+    for r in cells:
+        units.setdefault(r.unit, []).append((r.c, r.side))
+    met = {frozenset((a, b)) for held in units.values() for a, s in held for b, z in held if a != b and (s == 2 or s != z)}
+    assert all(frozenset((a, b)) in met for held in nodes.values() for a in held for b in held if label(a) != label(b))
+    # once for all nodes: a class goes to the few blocks that there are, not to each node's
+    assert len(cells) == len({(r.unit, r.c) for r in cells}) and len(cells) < 20 * 300
