@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,31 +69,44 @@ def compared(df: DataFrame, by: list[str], y: Column, new: Column, old: Column)
     return counts.withColumn("p_value", mcnemar_p(F.col("new_only"), F.col("old_only")))
 
 
-def poisson_draws(key: Column, rounds: int, seed: int) -> Column:
-    """How often a row is drawn in each of so many rounds: Poisson(1) by inverting 32-bit parts of hashes, eight to a digest."""
-    digests = [F.sha2(F.concat_ws(":", F.lit(f"{seed}:{k}"), key.cast("string")), 256) for k in range(-(-rounds // 8))]
-    parts = [F.conv(F.substring(digests[k // 8], 8 * (k % 8) + 1, 8), 16, 10).cast("long") / float(1 << 32) for k in range(rounds)]
-    return F.transform(F.array(*parts), _poisson)
+def draw_bits(key: Column, rounds: int, seed: int) -> Column:
+    """32 bits for each of so many rounds: the digests of the key, eight rounds to a digest, one after the other."""
+    return F.unhex(F.concat(*[F.sha2(F.concat_ws(":", F.lit(f"{seed}:{k}"), key.cast("string")), 256) for k in range(-(-rounds // 8))]))
 
 
-def _poisson(u: Column) -> Column:
-    """The number whose step of the cumulative Poisson(1) distribution holds u."""
-    below, term, out = 0.0, 0.36787944117144233, F.lit(0)
+def _poisson_steps() -> list[int]:
+    """The least 32-bit numbers that give 1, 2, ... by inverting the cumulative Poisson(1) distribution."""
+    below, term, out = 0.0, 0.36787944117144233, []
     for k in range(1, 13):
         below += term
         term /= k
-        out = F.when(u >= below, F.lit(k)).otherwise(out)
+        out.append(math.ceil(below * 2**32))
     return out
 
 
+def _drawn(batches: Iterator[pd.DataFrame], rounds: int) -> Iterator[pd.DataFrame]:
+    """Sums over a task's rows (v, bits), one row a round: values and rows as drawn, and values and rows as they are."""
+    steps, x, w, total, n = _poisson_steps(), np.zeros(rounds), np.zeros(rounds, np.int64), 0.0, 0
+    for batch in batches:
+        values = batch["v"].to_numpy(np.float64)
+        bits = np.frombuffer(b"".join(batch["bits"]), ">u4").reshape(len(values), -1)[:, :rounds].astype(np.uint32)
+        k = np.zeros(bits.shape, np.uint8)
+        for step in steps:
+            k += bits >= np.uint32(step)
+        x, w, total, n = x + values @ k, w + k.sum(axis=0, dtype=np.int64), total + values.sum(), n + len(values)
+    if n:
+        yield pd.DataFrame({"round": np.arange(rounds), "x": x, "w": w, "total": total, "n": n})
+
+
 def row_bootstrap(df: DataFrame, key: Column, value: Column, rounds: int = 200, seed: int = 1) -> DataFrame:
     """One row (n, mean, low, high): the mean of ``value`` and the 2.5 % and 97.5 % points of its bootstrap means.
 
-    Every row draws for itself how often each round takes it, so one pass sums all rounds and nothing is resampled by place;
-    the draws follow from the row's key and the seed. Sums are kept per round: ``rounds`` rows meet at the end.
+    Every row draws for itself how often each round takes it (Poisson(1)), so one pass sums all rounds and nothing is
+    resampled by place; the draws follow from the row's key and the seed. A task keeps one sum a round, and only these meet.
     """
-    rows = df.select(value.cast("double").alias("v"), F.posexplode(poisson_draws(key, rounds, seed)).alias("round", "k"))
-    per = rows.where("v IS NOT NULL").groupBy("round").agg(F.sum(F.col("k") * F.col("v")).alias("x"), F.sum("k").alias("w"), F.count("*").alias("n"), F.avg("v").alias("m"))
+    rows = df.select(value.cast("double").alias("v"), draw_bits(key, rounds, seed).alias("bits")).where("v IS NOT NULL")
+    sums = rows.mapInPandas(lambda it: _drawn(it, rounds), "round int, x double, w long, total double, n long")
+    per = sums.groupBy("round").agg(F.sum("x").alias("x"), F.sum("w").alias("w"), F.sum("n").alias("n"), F.try_divide(F.sum("total"), F.sum("n")).alias("m"))
     return per.agg(F.max("n").alias("n"), F.max("m").alias("mean"), F.percentile(F.try_divide("x", "w"), F.lit(0.025)).alias("low"), F.percentile(F.try_divide("x", "w"), F.lit(0.975)).alias("high"))
 
 

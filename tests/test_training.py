@@ -2,6 +2,7 @@
 
 import datetime as dt
 import glob
+import hashlib
 import math
 import random
 
@@ -150,3 +151,23 @@ def test_one_busy_key_stays_linear(spark):
     days = decay.moments_before(decay.daily(rows, ["k"], "day", F.col("v")), ["k"], "day", {"m": 30.0})
     n, last = days.select(F.count("*"), F.max("m.n")).first()
     assert (n, last) == (500, 998_000)
+
+
+def test_bootstrap_sums_rounds_in_their_tasks(spark):
+    rows = [(i, None if i % 40 == 0 else float(i % 11)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v double").repartition(3)
+    found = significance.row_bootstrap(df, F.col("id"), F.col("v"), rounds=20)
+    steps = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+    x, w = [0.0] * 20, [0] * 20
+    for i, v in rows:
+        bits = b"".join(hashlib.sha256(f"1:{d}:{i}".encode()).digest() for d in range(3))
+        for r in range(20) if v is not None else ():
+            k = sum(int.from_bytes(bits[4 * r : 4 * r + 4], "big") / 2**32 >= s for s in steps)
+            x[r], w[r] = x[r] + k * v, w[r] + k
+    got, means = found.first(), sorted(a / b for a, b in zip(x, w, strict=True))
+    at = lambda q: means[int(19 * q)] + (19 * q) % 1 * (means[int(19 * q) + 1] - means[int(19 * q)])
+    kept = [v for _, v in rows if v is not None]
+    assert got["n"] == len(kept) and got["mean"] == pytest.approx(sum(kept) / len(kept))
+    assert got["low"] == pytest.approx(at(0.025)) and got["high"] == pytest.approx(at(0.975))
+    # no row is made for a row and a round
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
