@@ -38,15 +38,21 @@ def score(text: Column) -> Column:
     """
     bare = F.trim(F.coalesce(text, F.lit("")))
     parts = F.filter(F.split(bare, r"[\s,]+"), lambda p: p != "")
-    pattern = r"^(\d{1,2})[-:](\d{1,2})(?:\((\d{1,2})\))?$"
-    part = lambda p, k: F.regexp_extract(p, pattern, k).try_cast("int")
-    sets = F.transform(parts, lambda p: F.struct(part(p, 1).alias("a"), part(p, 2).alias("b"), part(p, 3).alias("t")))
+    cut = F.transform(parts, lambda p: F.when(p.rlike(r"^\d{1,2}[-:]\d{1,2}(?:\(\d{1,2}\))?$"), F.split(p, r"[^0-9]+")))
+    number = lambda p, k: F.get(p, F.lit(k)).try_cast("int")
+    sets = F.transform(cut, lambda p: F.struct(number(p, 0).alias("a"), number(p, 1).alias("b"), number(p, 2).alias("t")))
+    # a lambda's variable is worked out once, a column wherever it is named
+    return F.get(F.transform(F.array(sets), _counted), F.lit(0))
+
+
+def _counted(sets: Column) -> Column:
+    """The struct that ``score`` returns, of an array of (a, b, t)."""
     high, low = (lambda s: F.greatest(s["a"], s["b"])), (lambda s: F.least(s["a"], s["b"]))
     complete = lambda s: ((high(s) == 6) & (low(s) <= 4)) | ((high(s) == 7) & low(s).isin(5, 6))
     won = lambda own, other: F.size(F.filter(sets, lambda s: complete(s) & (s[own] > s[other])))
     games = F.aggregate(sets, F.lit(0), lambda n, s: n + F.coalesce(s["a"] + s["b"], F.lit(0)))
-    error = F.when(F.size(parts) == 0, "empty").when(F.exists(sets, lambda s: s["a"].isNull()), "malformed").when(~F.forall(sets, complete), "incomplete")
-    whole = F.coalesce(error != "malformed", F.lit(True)) & (F.size(parts) > 0)
+    error = F.when(F.size(sets) == 0, "empty").when(F.exists(sets, lambda s: s["a"].isNull()), "malformed").when(~F.forall(sets, complete), "incomplete")
+    whole = (F.size(sets) > 0) & F.forall(sets, lambda s: s["a"].isNotNull())
     return F.struct(F.when(whole, sets).alias("sets"), *[F.when(whole, v).alias(n) for n, v in (("sets_a", won("a", "b")), ("sets_b", won("b", "a")), ("games", games))], error.alias("error"))
 
 

@@ -96,3 +96,9 @@ def test_first_compatible_place(spark):
     rows = spark.createDataFrame([(1, ["w", "x"], 1), (2, ["y", "z"], 2), (3, ["y"], 9), (4, [], 1), (5, None, 1), (6, ["x", "z"], 2)], "id int, names array<string>, want int")
     got = linkers.first_compatible(rows, "id", "names", places, "name", F.col("region") == F.col("want")).collect()
     assert {r["id"]: (r["position"], r["name"]) for r in got} == {1: (1, "x"), 2: (0, "y"), 3: (None, None), 4: (None, None), 5: (None, None), 6: (1, "z")}
+
+
+def test_a_score_is_parsed_once_a_row(spark):
+    raw = spark.createDataFrame([(1, "{}")], "k long, json string")
+    plan = matches.typed_events(raw, "json")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") + plan.count("regexp_extract(") == 1 and plan.count("from_json") == 1
