@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 TOLERANCE = 1e-6
 
 
-def reconciled(existing: DataFrame, claims: DataFrame, key: str, witness: str, never: str | None = None) -> DataFrame:
+def reconciled(existing: DataFrame, claims: DataFrame, key: str, witness: str, never: str | None = None, most: int = 500_000) -> DataFrame:
     """One verdict for each (key, field) that some source claims: key, field, value (where staged), verdict, sources, families.
 
     existing: (key, field, value) known already. claims: (key, row, family, field, value), row being one source's row for the key.
@@ -18,22 +18,24 @@ def reconciled(existing: DataFrame, claims: DataFrame, key: str, witness: str, n
 
     Verdicts: known (all claims agree with the known value), conflict (one does not), disputed, tainted (no untainted
     claim), uncorroborated (contested and lacking witnesses), staged. A claim without a value is none. Every step is a
-    grouped aggregate by key and field, row or key, so no key's claims are gathered.
+    grouped aggregate by key and field, row or key, so no key's claims are gathered. The claims are counted first and dealt
+    to tasks of about ``most``, so that a task's memory does not grow with them.
     """
+    n = max(int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-max(claims.count(), existing.count()) // most))
     valid = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
-    known = existing.where(F.col("value").isNotNull()).groupBy(key, "field").agg(F.min("value").alias("known"))
-    met = claims.where("value IS NOT NULL").join(known, [key, "field"], "left")
-    met = met.withColumn("clash", ~valid | F.coalesce(F.abs(F.col("value") - F.col("known")) > TOLERANCE, F.lit(False)))
+    known = existing.where(F.col("value").isNotNull()).repartition(n, key, "field").groupBy(key, "field").agg(F.min("value").alias("known"))
+    met = claims.where("value IS NOT NULL").repartition(n, key, "field").join(known, [key, "field"], "left")
+    met = met.withColumn("clash", ~valid | F.coalesce(F.abs(F.col("value") - F.col("known")) > TOLERANCE, F.lit(False))).repartition(n, key, "row")
     rows = met.groupBy(key, "row").agg(F.max("clash").alias("tainted"))
     told = met.join(rows, [key, "row"])
     open_, clean = F.col("known").isNull() & ~F.col("clash"), ~F.col("tainted")
     another = F.col("family") != witness if never is None else ~F.col("family").isin(witness, never)
-    fields = told.groupBy(key, "field").agg(
+    fields = told.repartition(n, key, "field").groupBy(key, "field").agg(
         F.max("clash").alias("clash"), F.first("known", True).alias("known"), F.min(F.when(open_, F.col("value"))).alias("low"), F.max(F.when(open_, F.col("value"))).alias("high"),
         F.count_if(open_ & clean).alias("sources"), F.count_if(open_ & clean & (F.col("family") == witness)).alias("witnesses"), F.count_if(open_ & clean & another).alias("others"),
         F.count_distinct(F.when(open_ & clean, F.col("family"))).alias("families"),
     )
-    fields = fields.withColumn("disputed", F.coalesce(F.col("high") - F.col("low") > TOLERANCE, F.lit(False)))
+    fields = fields.withColumn("disputed", F.coalesce(F.col("high") - F.col("low") > TOLERANCE, F.lit(False))).repartition(n, key)
     contested = fields.groupBy(key).agg(F.max(F.col("clash") | F.col("disputed")).alias("contested"))
     verdict = (
         F.when(F.col("known").isNotNull(), F.when(F.col("clash"), "conflict").otherwise("known"))

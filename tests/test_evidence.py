@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import duckdb
 import pytest
@@ -181,3 +182,13 @@ def test_point_links_reasons(spark):
         1: (1, 0.4, 0.6, "linked"), 2: (None, None, None, "conflict"), 3: (None, None, None, "present"), 4: (None, None, None, "ambiguous"), 5: (None, None, None, "unmatched"),
         6: (None, None, None, "unusable"), 7: (None, None, None, "unusable"), 8: (2, 0.51, 0.3, "linked"),
     }
+
+
+def test_claims_are_dealt_to_tasks_of_bounded_size(spark):
+    claims = spark.range(4000).selectExpr("id % 1000 AS k", "id % 2 AS row", "CASE WHEN id % 3 = 0 THEN 'charted' ELSE 'feed' END AS family", "'f' || (id % 4) AS field", "CAST(id % 5 AS DOUBLE) AS value")
+    known = claims.where("k % 7 = 0").selectExpr("k", "field", "1.0D AS value")
+    few, many = (evidence.reconciled(known, claims, "k", "charted", most=most) for most in (500_000, 100))
+    assert sorted(map(tuple, few.collect()), key=str) == sorted(map(tuple, many.collect()), key=str)
+    # 4000 claims of at most 100 a task: every exchange has 40 partitions, whatever the session's number is
+    made = many._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in made and all(x.rstrip(")").endswith(", 40") for x in re.findall(r"hashpartitioning\([^)]*\)", made))
