@@ -240,16 +240,20 @@ def _linked(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Da
 def _blocks(large: DataFrame, sig: DataFrame, block: int) -> DataFrame:
     """Large nodes (node, size, c, label, wide, ...) as pairs of blocks: unit and side.
 
-    A class has one block, of the largest node that holds it, whatever other nodes and trees hold it too. Two blocks meet once
-    if any node holds classes of both, so alike nodes of many trees are compared once. A node's most frequent component has
-    blocks of its own, which do not meet each other; so the work grows with the rows of the other components.
+    A class has one block, whatever nodes and trees hold it. Its home is the largest node that holds it; the homes of alike
+    nodes are one group, that of the home of most of their classes, and a group's classes are dealt to blocks together, so
+    that blocks are full and few. Two blocks meet once if any node holds classes of both. A group's most frequent component
+    has blocks of its own, which do not meet each other; so the work grows with the rows of the other components.
     """
     rows = large.select("node", "c", "label", "wide", F.max(F.struct("size", "node")).over(Window.partitionBy("c"))["node"].alias("home"))
-    per = rows.where("node = home").groupBy("home", "label").agg(F.count("*").alias("n"))
-    lead = per.groupBy("home").agg(F.max_by("label", F.struct("n", "label")).alias("lead"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    rows = rows.join(stash(lead, "lead"), "home").withColumn("own", F.col("label") == F.col("lead"))
+    shares = rows.groupBy("node", "home").agg(F.count("*").alias("n"))
+    groups = shares.groupBy(F.col("node").alias("home")).agg(F.max_by("home", F.struct("n", "home")).alias("group"))
+    rows = rows.join(stash(groups, "groups"), "home")
+    per = rows.where("node = home").groupBy("group", "label").agg(F.count("*").alias("n"))
+    lead = per.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("lead"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    rows = rows.join(stash(lead, "lead"), "group").withColumn("own", F.col("label") == F.col("lead"))
     parts = F.ceil(F.when(F.col("own"), F.col("most")).otherwise(F.col("all") - F.col("most")) / block)
-    rows = rows.withColumn("at", F.xxhash64("home", "own", F.pmod(F.xxhash64("c"), parts).cast("int")))
+    rows = rows.withColumn("at", F.xxhash64("group", "own", F.pmod(F.xxhash64("c"), parts).cast("int")))
     held = stash(rows.select("node", "at", F.when(F.col("own"), F.col("lead")).alias("sole")).distinct(), "blocks")
     x, y = held.withColumnsRenamed({"at": "x", "sole": "sole_x"}), held.withColumnsRenamed({"at": "y", "sole": "sole_y"})
     met = x.join(y, "node").where("x <= y and not coalesce(sole_x = sole_y, false)").select("x", "y").distinct()

@@ -437,3 +437,19 @@ def test_blocks_of_alike_nodes_meet_once(spark):
     assert all(frozenset((a, b)) in met for held in nodes.values() for a in held for b in held if label(a) != label(b))
     # once for all nodes: a class goes to the few blocks that there are, not to each node's
     assert len(cells) == len({(r.unit, r.c) for r in cells}) and len(cells) < 20 * 300
+
+
+def test_blocks_of_overlapping_nodes_are_full(spark):
+    # forty nodes of falling size hold two thirds of the same 1200 classes each, so a class's largest node differs from the next one's
+    rng = np.random.default_rng(2)
+    nodes = {node: np.flatnonzero(rng.random(1200) < 0.66 - node / 1000).tolist() for node in range(40)}
+    rows = [(node, len(held), node, c, c, 0) for node, held in nodes.items() for c in held]
+    large = spark.createDataFrame(rows, "node long, size long, tree int, c long, label long, wide long")
+    sig = spark.createDataFrame([(c, b"s") for c in range(1200)], "c long, sig binary")
+    units = defaultdict(list)
+    for r in minhash._blocks(large, sig, 100).select("unit", "c", "side").collect():
+        units[r.unit].append((r.c, r.side))
+    met = {(min(a, b), max(a, b)) for held in units.values() for a, s in held for b, z in held if a != b and (s == 2 or s != z)}
+    assert all((a, b) in met for held in nodes.values() for i, a in enumerate(held) for b in held[i + 1 :])
+    # 12 full blocks that all meet would make 1200 x 12 rows
+    assert sum(map(len, units.values())) < 1.5 * 1200 * 12
