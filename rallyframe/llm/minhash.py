@@ -263,13 +263,23 @@ def _blocks(large: DataFrame, sig: DataFrame, block: int) -> DataFrame:
     return members.join(stash(sides, "sides"), "at").select("unit", "c", "label", "sig", "side", F.lit(0).alias("tree"), "wide")
 
 
+def _kept_nodes(named: DataFrame, small: int) -> DataFrame:
+    """The nodes (node, size) that hold two components; of small ones with the same classes, which compare the same pairs, the first tree's."""
+    nodes = named.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.bit_xor(F.xxhash64("c")).alias("held"), F.min("tree").alias("tree"))
+    alike = nodes.where("low < high").groupBy("size", "low", "high", "held", F.when(F.col("size") > small, F.col("node")).alias("large"))
+    return alike.agg(F.min(F.struct("tree", "node")).alias("first")).select("first.node", "size")
+
+
 def _labelled(docs: DataFrame, width: int, threshold: float, id_col: str, text_col: str, small: int, block: int) -> tuple[DataFrame, DataFrame]:
     """The rows (id, hash, n, key) and the component of each key (key, component: a number)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
-    base = stash(texts.mapInPandas(lambda it: _documents(it, width), "id long, hash long, n long, key binary, sig binary"), "shingled")
-    classes = base.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "hash")).alias("at"), F.first("sig").alias("sig"))
-    classes = stash(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    sig = classes.select("c", "sig")
+    shingled = stash(texts.mapInPandas(lambda it: _documents(it, width), "id long, hash long, n long, key binary, sig binary"), "shingled")
+    signed = shingled.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "hash")).alias("at"), F.first("sig").alias("sig"))
+    signed = stash(signed.withColumn("c", F.monotonically_increasing_id()), "signed")
+    # signatures, most of the bytes, lie in tables of their own that go when the nodes have them
+    base = stash(shingled.drop("sig"), "rows")
+    unstash(shingled)
+    classes, sig = stash(signed.drop("sig"), "classes"), signed.select("c", "sig")
     every = stash(sig.mapInPandas(lambda it: _first(it, threshold), "tree int, node long, c long"), "nodes")
     shared = stash(every.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"), "shared")
     nodes = stash(sized_join(every, shared, ["node"], "left_semi", shared.count()), "nodes")
@@ -309,13 +319,15 @@ def _labelled(docs: DataFrame, width: int, threshold: float, id_col: str, text_c
     levels, done = [], []
     for depth in range(DEPTH + 1):
         named = nodes.join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
-        size = stash(named.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node", "size"), "sizes")
+        size = stash(_kept_nodes(named, small), "sizes")
         if not depth:  # the trees in which a class is in a node too large to be compared at the first level
             wide = stash(nodes.join(size.where(F.col("size") > small), "node").groupBy("c").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("wide")), "wide")
-            deeper = stash(sig.join(wide.select("c"), "c", "left_semi"), "deeper")
-            done += [wide, deeper]
         named = named.join(size, "node").join(wide, "c", "left").withColumn("wide", F.coalesce("wide", F.lit(0)))
         held = stash(named.join(deeper if depth else sig, "c"), "mixed")
+        if not depth:
+            deeper = stash(held.where(F.col("size") > small).groupBy("c").agg(F.first("sig").alias("sig")), "deeper")
+            unstash(signed)
+            done += [wide, deeper]
         done += [size, held]
         levels.append(held.where(F.col("size") <= small).select(F.xxhash64(F.lit(depth), "node").alias("unit"), "c", "label", "sig", F.lit(2).alias("side"), "tree", F.lit(depth > 0).alias("deep"), "wide"))
         large = held.where(F.col("size") > small)

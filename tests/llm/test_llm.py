@@ -453,3 +453,11 @@ def test_blocks_of_overlapping_nodes_are_full(spark):
     assert all((a, b) in met for held in nodes.values() for i, a in enumerate(held) for b in held[i + 1 :])
     # 12 full blocks that all meet would make 1200 x 12 rows
     assert sum(map(len, units.values())) < 1.5 * 1200 * 12
+
+
+def test_small_nodes_of_the_same_classes_are_compared_once(spark):
+    alike = [(tree, node, c, c) for tree, node in ((3, 30), (1, 10), (2, 20)) for c in (1, 2, 3)]
+    other = [(0, 40, c, c) for c in (1, 2)] + [(0, 50, c, 7) for c in (1, 2, 3)]
+    large = [(tree, 60 + tree, c, c) for tree in (0, 1) for c in range(6)]
+    named = spark.createDataFrame(alike + other + large, "tree int, node long, c long, label long")
+    assert sorted(map(tuple, minhash._kept_nodes(named, 5).collect())) == [(10, 3), (40, 2), (60, 6), (61, 6)]
