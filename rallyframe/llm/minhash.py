@@ -5,9 +5,10 @@ signature. A tree's root holds all classes; a node chooses each of the first ``P
 1 / (threshold * places), the same for all its classes, and a class moves to the child named by its value there:
 1 / threshold children on average. Pairs at the threshold stay together with one child expected a level. Nodes of at most
 ``small`` classes are compared exhaustively; larger ones branch again, and those still large after ``DEPTH`` levels are
-compared in blocks of ``block`` classes, each pair of blocks once for all nodes and trees, so nothing is capped. ``TREES``
-independent trees give the recall (over 0.997 at the threshold for nodes that branch up to three times, far higher for
-nodes that need not).
+compared in blocks of ``block`` classes, each pair of blocks once for all nodes and trees, so nothing is capped. So are, at
+any level, crowds: nodes of at most ``TREES`` blocks of which one child holds more than half, as branching hardly parts
+their classes and would send each on in every tree and level. ``TREES`` independent trees give the recall (over 0.997 at
+the threshold for nodes that branch up to three times, far higher for nodes that need not).
 
 Dense groups never emit their pairs. The first trees compare each node's classes with one pivot; what these links connect
 is one component and is not compared again, and nodes that hold one component drop out. In the other nodes signatures
@@ -121,7 +122,13 @@ def _next(batches: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Data
     for batch in batches:
         if len(batch):
             row, node = _branch(batch["node"].to_numpy(np.int64).astype(np.uint64), _signatures(batch["sig"])[0], threshold)
-            yield pd.DataFrame({"tree": batch["tree"].to_numpy()[row], "node": node.astype(np.int64), "c": batch["c"].to_numpy()[row]})
+            yield pd.DataFrame({"tree": batch["tree"].to_numpy()[row], "node": node.astype(np.int64), "c": batch["c"].to_numpy()[row], "parent": batch["node"].to_numpy()[row], "held": batch["size"].to_numpy()[row]})
+
+
+def _crowds(children: DataFrame, most: int) -> DataFrame:
+    """The nodes (parent) of at most so many classes of which one child holds more than half. children: node, parent, held (the parent's size)."""
+    sizes = children.where(F.col("held") <= most).groupBy("parent", "node", "held").agg(F.count("*").alias("n"))
+    return sizes.where("2 * n > held").select("parent").distinct()
 
 
 def _likely(left: tuple, right: tuple, threshold: float) -> np.ndarray:
@@ -316,28 +323,39 @@ def _labelled(docs: DataFrame, width: int, threshold: float, id_col: str, text_c
     label = stash(components(links).select(F.col("id").alias("c"), F.col("component").alias("label")), "labels")
 
     # what pivots left apart: all nodes that still hold two components
-    levels, done = [], []
+    levels, whole, done = [], [], []
     for depth in range(DEPTH + 1):
         named = nodes.join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
         size = stash(_kept_nodes(named, small), "sizes")
+        named = named.join(size, "node")
         if not depth:  # the trees in which a class is in a node too large to be compared at the first level
-            wide = stash(nodes.join(size.where(F.col("size") > small), "node").groupBy("c").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("wide")), "wide")
-        named = named.join(size, "node").join(wide, "c", "left").withColumn("wide", F.coalesce("wide", F.lit(0)))
-        held = stash(named.join(deeper if depth else sig, "c"), "mixed")
+            named = stash(named, "named")
+            wide = stash(named.where(F.col("size") > small).groupBy("c").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("wide")), "wide")
+            done += [named, wide]
+        held = stash(named.join(wide, "c", "left").withColumn("wide", F.coalesce("wide", F.lit(0))).join(deeper if depth else sig, "c"), "mixed")
         if not depth:
             deeper = stash(held.where(F.col("size") > small).groupBy("c").agg(F.first("sig").alias("sig")), "deeper")
             unstash(signed)
-            done += [wide, deeper]
+            done.append(deeper)
         done += [size, held]
         levels.append(held.where(F.col("size") <= small).select(F.xxhash64(F.lit(depth), "node").alias("unit"), "c", "label", "sig", F.lit(2).alias("side"), "tree", F.lit(depth > 0).alias("deep"), "wide"))
         large = held.where(F.col("size") > small)
         if large.isEmpty():
             break
-        if depth < DEPTH:
-            nodes = stash(large.select("tree", "node", "c", "sig").mapInPandas(lambda it: _next(it, threshold), "tree int, node long, c long"), "nodes")
-            done.append(nodes)
-        else:  # exact way for the rest
-            levels.append(_blocks(large, deeper, block).withColumn("deep", F.lit(True)))
+        rows = large.select("node", "size", "c", "label", "wide")
+        if depth == DEPTH:  # exact way for the rest
+            whole.append(rows)
+            break
+        nodes = stash(large.mapInPandas(lambda it: _next(it, threshold), "tree int, node long, c long, parent long, held long"), "nodes")
+        crowds = stash(_crowds(nodes, TREES * block), "crowds")
+        done += [nodes, crowds]
+        if not crowds.isEmpty():
+            whole.append(stash(rows.join(crowds, F.col("node") == F.col("parent"), "left_semi"), "crowded"))
+            done.append(whole[-1])
+            nodes = nodes.join(crowds, "parent", "left_anti")
+        nodes = nodes.select("tree", "node", "c")
+    if whole:
+        levels.append(_blocks(reduce(DataFrame.unionByName, whole), deeper, block).withColumn("deep", F.lit(True)))
     met = reduce(DataFrame.unionByName, levels).repartition(spread, "unit").sortWithinPartitions("unit", "c")
     likely = stash(met.mapInPandas(lambda it: _partners(it, threshold, small), "unit long, c long, label long, side int"), "likely")
     whole = components(links.union(linked(likely)))

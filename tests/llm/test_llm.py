@@ -461,3 +461,32 @@ def test_small_nodes_of_the_same_classes_are_compared_once(spark):
     large = [(tree, 60 + tree, c, c) for tree in (0, 1) for c in range(6)]
     named = spark.createDataFrame(alike + other + large, "tree int, node long, c long, label long")
     assert sorted(map(tuple, minhash._kept_nodes(named, 5).collect())) == [(10, 3), (40, 2), (60, 6), (61, 6)]
+
+
+def test_crowds_are_compared_once_in_blocks(spark, monkeypatch):
+    # 240 texts of 60 words, of which each has 5 of its own: none is alike enough, and no branch parts them
+    rng, base = np.random.default_rng(8), [f"w{k}" for k in range(60)]
+    texts = []
+    for i in range(240):
+        own = list(base)
+        for k in rng.choice(60, 5, replace=False):
+            own[k] = f"x{i}_{k}"
+        texts.append(own)
+    for i in range(0, 40, 2):  # but for pairs that differ in the last word
+        texts[i + 1] = [*texts[i][:-1], f"y{i}"]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sent, write = Counter(), minhash.stash
+
+    def stash(df, name):
+        out = write(df, name)
+        sent[name] += out.count() if name == "mixed" else 0
+        return out
+
+    monkeypatch.setattr(minhash, "stash", stash)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, width=1).collect()}
+    sets = [set(t) for t in texts]
+    pairs = [(a, b) for a in range(240) for b in range(a + 1, 240) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    low = linked(range(240), pairs)
+    assert all(got[i] == low[i] for i in range(240)) and len(set(low.values())) > 60
+    # the first level's rows: a class is in TREES / 0.8 nodes on average
+    assert sent["mixed"] <= 1.25 * minhash.TREES * 240
