@@ -150,3 +150,31 @@ def test_pairs_of_a_dense_step_are_spread(spark):
     assert len(found) == len(meant) and {(r.a, r.b) for r in found} == meant
     tasks = [sum(r["at"] == k for r in found) for k in {r["at"] for r in found}]
     assert len(tasks) >= 4 and max(tasks) < 0.5 * len(meant)
+
+
+def _sent(plan):
+    """The rows that an executed plan's exchanges wrote."""
+    inner = {"AdaptiveSparkPlan": "executedPlan", "ResultQueryStage": "plan", "ShuffleQueryStage": "plan", "BroadcastQueryStage": "plan"}.get(plan.nodeName())
+    children = [getattr(plan, inner)()] if inner else [plan.children().apply(k) for k in range(plan.children().size())]
+    own = plan.metrics().get("shuffleRecordsWritten")
+    return (own.get().value() if own.isDefined() else 0) + sum(map(_sent, children))
+
+
+def test_pairs_are_sent_in_proportion_to_rows(spark):
+    def sent(n):
+        df = spark.range(n).selectExpr("id", "'x' AS bucket", "10 + id % 97 / 10.0D AS v")
+        counted = linkage.pairs_in_bucket(df, ["bucket"], "id", "v", 5.0, block=20).agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+        found, every = counted.collect()[0], spark.range(n).selectExpr("id AS b", "10 + id % 97 / 10.0D AS w").join(df).where("id < b AND abs(v - w) <= 5")
+        assert found == every.agg(F.count("*"), F.sum(F.xxhash64("id", "b").cast("decimal(38,0)"))).collect()[0]
+        return _sent(counted._jdf.queryExecution().executedPlan())
+
+    few, many = sent(400), sent(1600)
+    assert 400 < few and many < 6 * few, (few, many)
+
+
+def test_pairs_at_the_edges_of_steps(spark):
+    # differences that are rounded to the bound across a whole step, a repeated id, values without a difference
+    values = [(0, "x", -1e-20), (1, "x", 5.0), (2, "x", 10.0), (2, "x", 12.0), (3, "x", float("inf")), (4, "x", float("inf")), (5, "x", float("nan")), (6, "x", float("-inf")), (7, None, 5.0), (8, None, 5.0), (None, "x", 5.0), (None, "x", 8.0)]
+    found = linkage.pairs_in_bucket(spark.createDataFrame(values, "id long, bucket string, v double"), ["bucket"], "id", "v", 5.0).collect()
+    assert sorted(tuple(r) for r in found) == [(0, 1), (1, 2)]
+    assert linkage.pairs_in_bucket(spark.createDataFrame([], "id long, bucket string, v double"), ["bucket"], "id", "v", 5.0).count() == 0
